@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagsieve.functions.text import blank, plain_form
-from tagsieve.llm import cooccur, copies, termfreq, tokenize
+from tagsieve.llm import cooccur, copies, termfreq, tokenize, truncation
 from tagsieve.operators.packed import with_packed_values
 from tagsieve.plans.inputs import known_in_dictionary, table
 from tagsieve.session import written
@@ -18,6 +18,24 @@ def _tag_lists(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return written(with_packed_values(wanted, "tags", "vals", known_in_dictionary(spark, sf_dir)))
 
 
+def _cut_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = _tag_lists(spark, sf_dir, "id", "source").select("id", "source", F.col("tags").alias("text"), "vals")
+    dictionary = table(spark, sf_dir, "danbooru_tags").select(plain_form("tag").alias("term"))
+    return truncation.cut_scores(records, dictionary)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose tags were cut."""
+    return _cut_scores(spark, sf_dir).where(F.col("score") > 0.5).select("id")
+
+
+def p2_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, cut rows and their share for each source."""
+    cut = F.sum((F.col("score") > 0.5).cast("long"))
+    grouped = _cut_scores(spark, sf_dir).groupBy("source").agg(F.count(F.lit(1)).alias("rows"), cut.alias("cut_rows"))
+    return grouped.withColumn("share", F.round(F.col("cut_rows") / F.col("rows"), 6))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members of the groups of listings that agree in source, name words and tag set."""
     kept = _tag_lists(spark, sf_dir, "id", "source", "name").where(~blank("tags"))
@@ -77,6 +95,8 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_sources": p2_sources,
     "p3_found": p3_found,
     "p3_copies": p3_copies,
     "p5_found": p5_found,
