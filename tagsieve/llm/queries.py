@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagsieve.functions.text import blank, plain_form
-from tagsieve.llm import cooccur, copies, termfreq, tokenize, truncation
+from tagsieve.llm import cooccur, copies, sentences, termfreq, tokenize, truncation
 from tagsieve.operators.packed import with_packed_values
 from tagsieve.plans.inputs import known_in_dictionary, table
 from tagsieve.session import written
@@ -94,7 +94,14 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.encode_texts(tokenize.spread(documents, spark), "doc_id", "text", tokenize.vocabulary())
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of every document."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentences.split_sentences(tokenize.spread(documents, spark), "doc_id", "text")
+
+
 QUERIES = {
+    "p9_found": p9_found,
     "p2_found": p2_found,
     "p2_sources": p2_sources,
     "p3_found": p3_found,
