@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagsieve.functions.text import blank, plain_form
-from tagsieve.llm import cooccur, copies, sentences, termfreq, tokenize, truncation
+from tagsieve.llm import cooccur, copies, leakage, sentences, termfreq, tokenize, truncation
 from tagsieve.operators.packed import with_packed_values
 from tagsieve.plans.inputs import known_in_dictionary, table
 from tagsieve.session import written
@@ -94,6 +94,13 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.encode_texts(tokenize.spread(documents, spark), "doc_id", "text", tokenize.vocabulary())
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold passages of benchmark items."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return leakage.leaks(tokenize.spread(documents, spark), "doc_id", "text", items).select("item_id", "doc_id")
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of every document."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -101,6 +108,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p8_found": p8_found,
     "p9_found": p9_found,
     "p2_found": p2_found,
     "p2_sources": p2_sources,
