@@ -50,6 +50,30 @@ def known_pattern(values: list[str]) -> str | None:
     return "(?iu:" + "|".join(java_quote(v).replace(" ", "[_ ]") for v in longest_first) + ")" if kept else None
 
 
+def shaped_pattern(values: list[str], least: int = 20) -> str | None:
+    """A pattern of values shaped like many known ones: the same mark between as many words, and words known to stand first
+    on either side. Only shapes of at least ``least`` known values whose first words repeat count as regular."""
+    shapes: dict[tuple[str, int, int], list[tuple[str, str]]] = {}
+    for v in {re.sub(r"[_\s]+", " ", v.strip()).lower() for v in values}:
+        halves = re.split(r"([,;|] )", v)
+        if len(halves) == 3 and halves[0].strip() and halves[2].strip():
+            left, right = halves[0].split(), halves[2].split()
+            shapes.setdefault((halves[1], len(left), len(right)), []).append((left[0], right[0]))
+    found = []
+    for (mark, n, m), firsts in sorted(shapes.items()):
+        left, right = sorted({a for a, _ in firsts}), sorted({b for _, b in firsts})
+        if len(firsts) >= least and 2 * max(len(left), len(right)) <= len(firsts):
+            sides = [f"(?:{'|'.join(map(java_quote, ws))})(?:[_ ][\\p{{L}}-]+){{{k - 1}}}" for ws, k in ((left, n), (right, m))]
+            found.append(sides[0] + java_quote(mark[0]) + "[_ ]" + sides[1])
+    return "(?iu:" + "|".join(found) + ")" if found else None
+
+
+def either(*patterns: str | None) -> str | None:
+    """One pattern of several, leaving out those that are None."""
+    kept = [p for p in patterns if p]
+    return f"(?:{'|'.join(kept)})" if kept else None
+
+
 def known_values(*columns: DataFrame) -> list[str]:
     """Values with a separating mark from one-column frames of a dictionary; bounded by MOST_KNOWN."""
     found: list[str] = []
