@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagsieve.functions.text import blank, plain_form
-from tagsieve.llm import cooccur, copies, leakage, sentences, termfreq, tokenize, truncation
+from tagsieve.llm import canonical, cooccur, copies, leakage, sentences, termfreq, tokenize, truncation
 from tagsieve.operators.packed import with_packed_values
-from tagsieve.plans.inputs import known_in_dictionary, table
+from tagsieve.plans.inputs import aliases_of_tags, known_in_dictionary, table
 from tagsieve.session import written
 
 
@@ -18,6 +18,19 @@ def _tag_lists(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return written(with_packed_values(wanted, "tags", "vals", known_in_dictionary(spark, sf_dir)))
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dictionary tag of every name, series and danbooru_tag."""
+    tags = table(spark, sf_dir, "danbooru_tags").select("tag", "category", "post_count", "line_no")
+    entries = canonical.canonical_entries(tags, aliases_of_tags(spark, sf_dir), table(spark, sf_dir, "tag_aliases"))
+    rows = tokenize.spread(table(spark, sf_dir, "characters").select("id", "name", "series", "danbooru_tag"), spark)
+    return canonical.map_values(rows, "id", ["name", "series", "danbooru_tag"], "series", entries)
+
+
+def p1_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that the dictionary does not hold, with the number of rows of each field."""
+    return p1_found(spark, sf_dir).groupBy("field").agg(F.sum((F.col("tag") == "").cast("long")).alias("unmatched"), F.count(F.lit(1)).alias("rows"))
+
+
 def _cut_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = _tag_lists(spark, sf_dir, "id", "source").select("id", "source", F.col("tags").alias("text"), "vals")
     dictionary = table(spark, sf_dir, "danbooru_tags").select(plain_form("tag").alias("term"))
@@ -108,6 +121,8 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_unmatched": p1_unmatched,
     "p8_found": p8_found,
     "p9_found": p9_found,
     "p2_found": p2_found,
