@@ -81,7 +81,7 @@ def alias_index(dictionary: DataFrame, category: int = 4) -> DataFrame:
     """(key, canonical) in lower case: a tag's own name wins over aliases, among aliases the first line, among names the last."""
     rows = dictionary.where(F.col("category") == category)
     own = rows.select(F.lower("tag").alias("key"), F.lit(0).alias("prio"), (-F.col("line_no")).alias("place"), F.col("tag").alias("canonical"))
-    other = rows.select(F.lower(F.explode("aliases")).alias("key"), F.lit(1).alias("prio"), F.col("line_no").alias("place"), F.col("tag").alias("canonical"))
+    other = rows.select(F.explode(F.transform("aliases", lambda a: F.lower(a))).alias("key"), F.lit(1).alias("prio"), F.col("line_no").alias("place"), F.col("tag").alias("canonical"))
     return own.unionByName(other).groupBy("key").agg(F.min_by("canonical", F.struct("prio", "place", "canonical")).alias("canonical"))
 
 
