@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space of any script.
-WS = r"(?U)\s"
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def col(c: Column | str) -> Column:
@@ -14,8 +14,8 @@ def col(c: Column | str) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    """Remove white space of any kind at both ends (``trim`` knows only U+0020)."""
-    return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
+    """Remove white space of any kind at both ends (``trim`` by itself knows only U+0020)."""
+    return F.btrim(col(c), F.lit(BLANKS))
 
 
 def squeeze(c: Column | str) -> Column:

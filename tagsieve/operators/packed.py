@@ -27,11 +27,14 @@ MIXING = ("comma", "semicolon", "bar", "line")
 MOST_KNOWN = 20_000
 
 _MARKS = ",;|\n\t、，/\x01"
-_CLASS = "[" + "".join("\\" + c if c in "|/" else c for c in _MARKS) + "]"
-_QUOTED = r"""(?:"(?:[^"]|"")*"|'(?:[^']|'')*'|“[^”]*”)"""
-_OPEN = r"""(?:"[^"]*|'[^']*|“[^”]*)$"""
-_BEFORE = rf"(?:^|(?<={_CLASS}|\s))"
-_AFTER = rf"(?=\s*(?:{_CLASS}|$)|\s)"
+_INSIDE = "".join("\\" + c if c in "|/" else c for c in _MARKS)
+_CLASS = f"[{_INSIDE}]"
+# Possessive and without a group for each character: the engine recurses on such groups, and texts may be long.
+_QUOTED = r"""(?:"[^"]*+(?:""[^"]*+)*+"|'[^']*+(?:''[^']*+)*+'|“[^”]*+”)"""
+_OPEN = r"""(?:"[^"]*+|'[^']*+|“[^”]*+)$"""
+#: A value stands between marks, blanks or the ends of the text.
+_BEFORE = rf"(?<![^{_INSIDE}\s])"
+_AFTER = rf"(?![^{_INSIDE}\s])"
 #: Text that only blanks can separate: underscores inside its pieces, so that blanks are free to stand between them.
 _BLANKS = r"(?:[^\W_]{2}_|_[^\W_]{2})\S*\s+\S|\S\s+\S*(?:[^\W_]{2}_|_[^\W_]{2})"
 
@@ -46,8 +49,23 @@ def known_pattern(values: list[str]) -> str | None:
     kept = {re.sub(r"[_\s]+", " ", v.strip()).lower() for v in values if re.search(_CLASS, v)}
     if len(kept) > MOST_KNOWN:
         raise ValueError(f"{len(kept)} known values with separating marks; at most {MOST_KNOWN} are supported")
-    longest_first = sorted(kept, key=lambda v: (-len(v), v))
-    return "(?iu:" + "|".join(java_quote(v).replace(" ", "[_ ]") for v in longest_first) + ")" if kept else None
+    return f"(?iu:{_trie_pattern(sorted(kept))})" if kept else None
+
+
+def _trie_pattern(values: list[str]) -> str:
+    """A pattern of sorted values that branches once a character, so that a place is left after one comparison a branch."""
+    branches: dict[str, list[str]] = {}
+    for v in values:
+        if v:
+            branches.setdefault(v[0], []).append(v[1:])
+    out = []
+    for first, rest in branches.items():
+        if len(rest) == 1:
+            first, rest = first + rest[0], [""]
+        out.append(java_quote(first).replace(" ", "[_ ]") + _trie_pattern(rest))
+    if not out:
+        return ""
+    return f"(?:{'|'.join(out)}){'?' if '' in values else ''}"
 
 
 def shaped_pattern(values: list[str], least: int = 20) -> str | None:
@@ -85,8 +103,8 @@ def known_values(*columns: DataFrame) -> list[str]:
 
 
 def _masked(text: Column, known: str | None) -> Column:
-    out = F.regexp_replace(text, _BEFORE + _QUOTED + _AFTER, "q")
-    out = F.regexp_replace(out, rf"(?:(?<=^|{_CLASS})|(?<=\s))" + _OPEN, "q")
+    """The text with quoted and known values as single letters. Each pattern first looks for the character it can start with."""
+    out = F.regexp_replace(text, rf"""(?=["'“]){_BEFORE}(?:{_QUOTED}{_AFTER}|{_OPEN})""", "q")
     return F.regexp_replace(out, rf"{_BEFORE}{known}{_AFTER}", "k") if known else out
 
 
@@ -129,19 +147,25 @@ def _kind_from_scores() -> Column:
     )
 
 
+def _inner(marks: str) -> str:
+    """A piece: no separating mark, but marks that touch an underscore."""
+    kept = rf"(?:(?<=_)[{marks}]|[{marks}](?=_))"
+    return rf"(?:[^{marks}]|{kept})[^{marks}]*+(?:{kept}[^{marks}]*+)*+"
+
+
 def _pieces(text: Column, kind: str, known: str | None) -> Column:
     if kind == "none":
         return F.array(text)
     if kind == "blank":
-        sep, inner = r"\s", r"\S"
+        sep, inner = r"\s", r"\S++"
     elif kind == "mixed":
         marks = "".join(java_quote(SINGLE[k]) for k in MIXING)
-        sep, inner = rf"(?<!_)[{marks}](?!_)", rf"(?:[^{marks}]|(?<=_)[{marks}]|[{marks}](?=_))"
+        sep, inner = rf"(?<!_)[{marks}](?!_)", _inner(marks)
     else:
         m = java_quote(SINGLE[kind])
-        sep, inner = _mark(SINGLE[kind]), rf"(?:[^{m}]|(?<=_){m}|{m}(?=_))"
+        sep, inner = _mark(SINGLE[kind]), _inner(m)
     whole = _QUOTED + (f"|{known}" if known else "")
-    pattern = rf"(?<=^|{sep.removeprefix('(?<!_)').removesuffix('(?!_)')})\s*(?:(?:{whole})(?=\s*(?:{sep}|$))|{_OPEN})|{inner}+"
+    pattern = rf"(?<=^|{sep.removeprefix('(?<!_)').removesuffix('(?!_)')})\s*(?:(?:{whole})(?=\s*(?:{sep}|$))|{_OPEN})|{inner}"
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
@@ -169,7 +193,8 @@ def with_packed_values(df: DataFrame, text_col: str, out: str = "vals", known: s
     kept = [F.col(f"`{c}`") for c in df.columns if c != out]
     staged = df.select(*kept, F.replace(strip(F.col(f"`{text_col}`")), F.lit(" / "), F.lit("\x01")).alias("_whole"))
     staged = staged.withColumn("_masked", _masked(F.col("_whole"), known))
-    staged = staged.withColumn("_bare", F.regexp_replace("_masked", rf"(?<=_){_CLASS}|{_CLASS}(?=_)", "k"))
+    # What separates is counted in a skeleton of the text: marks that touch an underscore are no marks, words are one letter.
+    staged = staged.withColumn("_bare", F.regexp_replace(F.regexp_replace("_masked", rf"{_CLASS}?_{_CLASS}|{_CLASS}_", "k"), rf"[^{_INSIDE} ]+", "x"))
     staged = staged.withColumns(_score_columns(F.col("_bare"))).withColumn("_kind", _kind_from_scores())
     pieces = F.lit(None).cast("array<string>")
     for k in ["none", "blank", "mixed", *SINGLE]:
