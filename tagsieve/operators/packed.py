@@ -29,6 +29,7 @@ MOST_KNOWN = 20_000
 _MARKS = ",;|\n\t、，/\x01"
 _INSIDE = "".join("\\" + c if c in "|/" else c for c in _MARKS)
 _CLASS = f"[{_INSIDE}]"
+_BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # Possessive and without a group for each character: the engine recurses on such groups, and texts may be long.
 _QUOTED = r"""(?:"[^"]*+(?:""[^"]*+)*+"|'[^']*+(?:''[^']*+)*+'|“[^”]*+”)"""
 _OPEN = r"""(?:"[^"]*+|'[^']*+|“[^”]*+)$"""
@@ -102,10 +103,13 @@ def known_values(*columns: DataFrame) -> list[str]:
     return found
 
 
-def _masked(text: Column, known: str | None) -> Column:
-    """The text with quoted and known values as single letters. Each pattern first looks for the character it can start with."""
-    out = F.regexp_replace(text, rf"""(?=["'“]){_BEFORE}(?:{_QUOTED}{_AFTER}|{_OPEN})""", "q")
-    return F.regexp_replace(out, rf"{_BEFORE}{known}{_AFTER}", "k") if known else out
+def _without_quoted(text: Column) -> Column:
+    """The text with quoted values as single letters; the pattern first looks for a quote."""
+    return F.regexp_replace(text, rf"""(?=["'“]){_BEFORE}(?:{_QUOTED}{_AFTER}|{_OPEN})""", "q")
+
+
+def _without_known(text: Column, known: str | None) -> Column:
+    return F.regexp_replace(text, rf"{_BEFORE}{known}{_AFTER}", "k") if known else text
 
 
 def _mark(c: str) -> str:
@@ -148,25 +152,24 @@ def _kind_from_scores() -> Column:
 
 
 def _inner(marks: str) -> str:
-    """A piece: no separating mark, but marks that touch an underscore."""
+    """A piece without blanks around it: no separating mark, but marks that touch an underscore."""
     kept = rf"(?:(?<=_)[{marks}]|[{marks}](?=_))"
-    return rf"(?:[^{marks}]|{kept})[^{marks}]*+(?:{kept}[^{marks}]*+)*+"
+    return rf"(?:[^{marks}{_BLANK}]|{kept})[^{marks}]*(?:{kept}[^{marks}]*)*(?<![{_BLANK}])"
 
 
 def _pieces(text: Column, kind: str, known: str | None) -> Column:
+    """Pieces of the text, quotes still around them, blanks not."""
     if kind == "none":
         return F.array(text)
     if kind == "blank":
-        sep, inner = r"\s", r"\S++"
-    elif kind == "mixed":
-        marks = "".join(java_quote(SINGLE[k]) for k in MIXING)
-        sep, inner = rf"(?<!_)[{marks}](?!_)", _inner(marks)
+        marks, sep, inner = _BLANK, r"\s", r"\S++"
     else:
-        m = java_quote(SINGLE[kind])
-        sep, inner = _mark(SINGLE[kind]), _inner(m)
-    whole = _QUOTED + (f"|{known}" if known else "")
-    pattern = rf"(?<=^|{sep.removeprefix('(?<!_)').removesuffix('(?!_)')})\s*(?:(?:{whole})(?=\s*(?:{sep}|$))|{_OPEN})|{inner}"
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        marks = "".join(java_quote(SINGLE[k]) for k in (MIXING if kind == "mixed" else (kind,)))
+        sep, inner = rf"(?<!_)[{marks}](?!_)", _inner(marks)
+    start, end = rf"(?<=(?:^|[{marks}])[{_BLANK}]{{0,9}})", rf"(?=[{_BLANK}]*(?:{sep}|$))"
+    quoted = rf"""(?=["'“]){start}(?:{_QUOTED}{end}|{_OPEN})"""
+    listed = f"|{start}{known}{end}" if known else ""
+    return F.regexp_extract_all(text, F.lit(f"{quoted}{listed}|{inner}"), F.lit(0))
 
 
 def _unquoted(v: Column) -> Column:
@@ -192,16 +195,21 @@ def with_packed_values(df: DataFrame, text_col: str, out: str = "vals", known: s
     """
     kept = [F.col(f"`{c}`") for c in df.columns if c != out]
     staged = df.select(*kept, F.replace(strip(F.col(f"`{text_col}`")), F.lit(" / "), F.lit("\x01")).alias("_whole"))
-    staged = staged.withColumn("_masked", _masked(F.col("_whole"), known))
+    staged = staged.withColumn("_plain", _without_quoted(F.col("_whole"))).withColumn("_masked", _without_known(F.col("_plain"), known))
     # What separates is counted in a skeleton of the text: marks that touch an underscore are no marks, words are one letter.
-    staged = staged.withColumn("_bare", F.regexp_replace(F.regexp_replace("_masked", rf"{_CLASS}?_{_CLASS}|{_CLASS}_", "k"), rf"[^{_INSIDE} ]+", "x"))
+    no_touch = F.when(F.contains("_masked", F.lit("_")), F.regexp_replace("_masked", rf"{_CLASS}?_{_CLASS}|{_CLASS}_", "k")).otherwise(F.col("_masked"))
+    staged = staged.withColumn("_bare", F.regexp_replace(no_touch, rf"[^{_INSIDE} ]+", "x"))
     staged = staged.withColumns(_score_columns(F.col("_bare"))).withColumn("_kind", _kind_from_scores())
     pieces = F.lit(None).cast("array<string>")
     for k in ["none", "blank", "mixed", *SINGLE]:
-        pieces = F.when(F.col("_kind") == k, _pieces(F.col("_whole"), k, known)).otherwise(pieces)
-    staged = staged.select(*kept, pieces.alias("_pieces"))
-    values = F.transform("_pieces", lambda p: F.replace(strip(_unquoted(strip(p))), F.lit("\x01"), F.lit(" / ")))
-    return staged.select(*kept, F.coalesce(F.filter(values, lambda v: v != ""), F.array().cast("array<string>")).alias(out))
+        pieces = F.when(F.col("_kind") == k, _pieces(F.col("_whole"), k, None)).otherwise(pieces)
+    if known:
+        for k in ["blank", "mixed", *SINGLE]:
+            pieces = F.when((F.col("_masked") != F.col("_plain")) & (F.col("_kind") == k), _pieces(F.col("_whole"), k, known)).otherwise(pieces)
+    staged = staged.select(*kept, F.col("_whole").rlike("[\"'“\x01]").alias("_written"), pieces.alias("_pieces"))
+    values = F.filter(F.transform("_pieces", lambda p: F.replace(strip(_unquoted(p)), F.lit("\x01"), F.lit(" / "))), lambda v: v != "")
+    none = F.array().cast("array<string>")
+    return staged.select(*kept, F.coalesce(F.when(F.col("_written") | (F.get("_pieces", 0) == ""), values).otherwise(F.col("_pieces")), none).alias(out))
 
 
 def explode_packed(df: DataFrame, id_col: str, text_col: str, known: str | None = None) -> DataFrame:
