@@ -147,7 +147,7 @@ def fit_null(degrees: np.ndarray, items: np.ndarray, sizes: np.ndarray, baskets:
         x = np.minimum(x, 1e12)
         y = sizes / np.maximum((items * x / (1 + np.outer(y, x))).sum(1), 1e-300)
         y = np.minimum(y, 1e12)
-        if np.max(np.abs(x - old) / np.maximum(x, 1e-300)) < 1e-9:
+        if np.max(np.abs(x - old) / np.maximum(x, 1e-300), initial=0) < 1e-9:
             break
     return x, y
 

@@ -89,11 +89,18 @@ _LOWER_AFTER = regex.compile(r"""[\s"'“‘„«‹(\[—–-]*\p{Ll}""")
 _DIGIT_AFTER = regex.compile(r"\s*\p{Nd}")
 _CASELESS = regex.compile(r"[\p{Lo}\p{M}\p{Lm}]")
 _GERMAN = regex.compile(r"\b(?:der|die|das|und|wurde|für|nicht|trug|reicht|enthält)\b")
+_NO_ORDINAL = regex.compile(r"[.,\d]$|(?i:\b(?:nr|bd|bde|abb|kap|s|abs|art|band|kapitel|nummer|seite)\.?\s+)$")
 _ENDED = regex.compile(rf"[\p{{SB=STerm}}\p{{SB=ATerm}}…]{_SPACE}?{_CLOSERS}*$")
 _SMALL_START = regex.compile(r"(?<![\p{L}\p{M}.])(\p{L}\p{Ll}{2,})(?:\.(?!\.)|[!?]+)[ \t]+[\"“]?\p{Ll}+(?![\p{L}])")
 _SOLE_WORD = regex.compile(r"[\s\"“«(\[]*\p{L}+$")
 
 
+def _runs_on(text: str, lines: list[tuple[int, int]]) -> bool:
+    """Whether some line without an end mark goes on with a small letter."""
+    pairs = zip(lines, lines[1:])
+    return any(text[c:d].strip()[:1].islower() and text[a:b].strip() and not _ENDED.search(text[a:b].rstrip()) and "_" not in text[c:d] for (a, b), (c, d) in pairs)
+
+
 def _line_blocks(text: str) -> list[tuple[int, int]]:
     """Blocks of lines that belong to running text; breaks between blocks always separate."""
     lines, at = [], 0
@@ -102,7 +109,7 @@ def _line_blocks(text: str) -> list[tuple[int, int]]:
         at = m.end()
     lines.append((at, len(text)))
     width = max(len(text[a:b].rstrip()) for a, b in lines)
-    wrapped = width <= 120 and len(lines) > 1
+    wrapped = len(lines) > 1 and (50 <= width <= 120 or width < 50 and _runs_on(text, lines))
     blocks: list[tuple[int, int]] = []
     last: tuple[int, int] | None = None
     for a, b in lines:
@@ -182,7 +189,7 @@ def _ends(text: str, start: int, at: int, end: int, stop: int, small: bool, germ
             return False
         if key in _EITHER and small:
             return key in EITHER_ENDS_SMALL
-        if german and name.isdigit() and len(name) <= 2 and regex.match(r"\s+\p{Lu}", rest) and not regex.search(r"[.,\d]\s*$", text[max(start, word.start() - 1) : word.start()]):
+        if german and name.isdigit() and len(name) <= 2 and regex.match(r"\s+\p{Lu}", rest) and not _NO_ORDINAL.search(text[max(start, word.start() - 8) : word.start()]):
             return False
     if small:
         return True
