@@ -61,13 +61,20 @@ def totals(rows: DataFrame, size: int = PAGE_SIZE) -> DataFrame:
 
 def search_batch(catalog: DataFrame, queries: DataFrame, most_terms: int = 1000) -> DataFrame:
     """(query, id) for a stated, size-checked list of queries (column query), all terms of each in any searched column."""
-    terms = queries.select("query", F.array_distinct(search_terms_of("query")).alias("terms")).where(F.size("terms") > 0)
-    exploded = terms.select("query", F.size("terms").alias("n"), F.explode("terms").alias("term"))
-    if exploded.limit(most_terms + 1).count() > most_terms:
+    wanted = queries.select("query", F.array_distinct(search_terms_of("query")).alias("terms")).where(F.size("terms") > 0).distinct()
+    listed = wanted.select("query", F.size("terms").alias("n"), F.explode("terms").alias("term"))
+    rows = listed.limit(most_terms + 1).collect()
+    if len(rows) > most_terms:
         raise ValueError(f"more than {most_terms} terms; state the queries in blocks")
-    hit = reduce(lambda a, b: a | b, [F.coalesce(like_contains(c, F.col("term")), F.lit(False)) for c in SEARCHED])
-    # A theta join against a list whose size was just checked; matches are counted for each (query, row).
-    pairs = catalog.select("id", *SEARCHED).join(F.broadcast(exploded), hit)
+    terms = sorted({r["term"] for r in rows})
+    if not terms:
+        return catalog.select(F.lit("").alias("query"), "id").limit(0)
+    # Constant terms become plain substring tests; a row gives the terms that it holds, and only those meet their queries.
+    folded = catalog.select("id", *[fold(c).alias(c) for c in SEARCHED])
+    tests = [F.when(reduce(lambda a, b: a | b, [F.coalesce(like_contains(c, t), F.lit(False)) for c in SEARCHED]), F.lit(t)) for t in terms]
+    held = folded.select("id", F.explode(F.array_compact(F.array(*tests))).alias("term"))
+    table = catalog.sparkSession.createDataFrame([(r["query"], r["n"], r["term"]) for r in rows], "query string, n int, term string")
+    pairs = held.join(F.broadcast(table), "term")
     return pairs.groupBy("query", "n", "id").agg(F.count(F.lit(1)).alias("matched")).where(F.col("matched") == F.col("n")).select("query", "id")
 
 

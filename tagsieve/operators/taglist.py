@@ -12,9 +12,10 @@ _COUNT_TAG = r"(?i)^[1-6]\+?(girl|boy)s?$"
 
 def unique(tags: Column | str) -> Column:
     """First of every group of tags that are equal in compare form, order kept; empty forms are dropped."""
-    keyed = F.transform(col(tags), lambda t, i: F.struct(compare_form(t).alias("k"), i.alias("i"), t.alias("t")))
-    kept = F.filter(keyed, lambda x: (x["k"] != "") & (F.array_position(F.transform(keyed, lambda y: y["k"]), x["k"]) == x["i"] + 1))
-    return F.transform(kept, lambda x: x["t"])
+    # The list and its forms are bound once by a transform over one pair; each form then takes its first tag.
+    pair = F.array(F.struct(col(tags).alias("t"), F.transform(col(tags), lambda t: compare_form(t)).alias("k")))
+    firsts = F.transform(pair, lambda x: F.transform(F.filter(F.array_distinct(x["k"]), lambda k: k != ""), lambda k: F.element_at(x["t"], F.array_position(x["k"], k).cast("int"))))
+    return F.get(firsts, 0)
 
 
 def append_unique(existing: Column | str, incoming: Column | str) -> Column:

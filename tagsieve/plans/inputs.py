@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tagsieve.operators.packed import either, explode_packed, known_pattern, known_values, shaped_pattern
 
+from tagsieve.session import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -25,7 +27,8 @@ def known_in_dictionary(spark: SparkSession, sf_dir: str) -> str | None:
 
 def tag_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(rec_id, pos, val) of characters.tags."""
-    return explode_packed(table(spark, sf_dir, "characters"), "id", "tags", known_in_dictionary(spark, sf_dir))
+    rows = spread(table(spark, sf_dir, "characters").select("id", "tags"))
+    return explode_packed(rows, "id", "tags", known_in_dictionary(spark, sf_dir))
 
 
 def alias_values(spark: SparkSession, sf_dir: str) -> DataFrame:
