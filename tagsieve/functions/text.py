@@ -51,11 +51,16 @@ def like_contains(c: Column | str, term: Column | str) -> Column:
     ``term`` is a Python string (folded when the plan is built) or a column.
     """
     if isinstance(term, str):
-        return fold(c).like("%" + term.translate(str.maketrans(UPPER, LOWER)).replace("\\", "\\\\") + "%")
+        return like_folded(fold(c), term)
     pattern = F.concat(F.lit("%"), F.replace(fold(term), F.lit("\\"), F.lit("\\\\")), F.lit("%"))
     return F.like(fold(c), pattern)
 
 
+def like_folded(c: Column | str, term: str) -> Column:
+    """The same for a column that is folded already and a constant term."""
+    return col(c).like("%" + term.translate(str.maketrans(UPPER, LOWER)).replace("\\", "\\\\") + "%")
+
+
 def search_terms(query: str | None) -> list[str]:
     """Terms of a query: split at commas and white space, blanks dropped."""
     import re

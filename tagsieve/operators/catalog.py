@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagsieve.functions.text import fold, like_contains, search_terms, search_terms_of
+from tagsieve.functions.text import fold, like_contains, like_folded, search_terms, search_terms_of
 from tagsieve.session import written
 
 COLUMNS = ["id", "name", "series", "tags", "image_url", "rank", "danbooru_tag", "source"]
@@ -71,8 +71,9 @@ def search_batch(catalog: DataFrame, queries: DataFrame, most_terms: int = 1000)
         return catalog.select(F.lit("").alias("query"), "id").limit(0)
     # Constant terms become plain substring tests; a row gives the terms that it holds, and only those meet their queries.
     folded = catalog.select("id", *[fold(c).alias(c) for c in SEARCHED])
-    tests = [F.when(reduce(lambda a, b: a | b, [F.coalesce(like_contains(c, t), F.lit(False)) for c in SEARCHED]), F.lit(t)) for t in terms]
-    held = folded.select("id", F.explode(F.array_compact(F.array(*tests))).alias("term"))
+    tests = [F.when(reduce(lambda a, b: a | b, [F.coalesce(like_folded(c, t), F.lit(False)) for c in SEARCHED]), F.lit(t)) for t in terms]
+    # The outer form keeps the optimizer from copying all tests into a filter below.
+    held = folded.select("id", F.explode_outer(F.array_compact(F.array(*tests))).alias("term")).where(F.col("term").isNotNull())
     table = catalog.sparkSession.createDataFrame([(r["query"], r["n"], r["term"]) for r in rows], "query string, n int, term string")
     pairs = held.join(F.broadcast(table), "term")
     return pairs.groupBy("query", "n", "id").agg(F.count(F.lit(1)).alias("matched")).where(F.col("matched") == F.col("n")).select("query", "id")
