@@ -9,12 +9,12 @@ from tagsieve.functions.text import blank, plain_form
 from tagsieve.llm import canonical, cooccur, copies, leakage, sentences, termfreq, tokenize, truncation
 from tagsieve.operators.packed import with_packed_values
 from tagsieve.plans.inputs import aliases_of_tags, known_in_dictionary, table
-from tagsieve.session import written
+from tagsieve.session import spread, written
 
 
 def _tag_lists(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """The named columns of characters with ``vals``, the values of tags; each row is split once and written."""
-    wanted = table(spark, sf_dir, "characters").select(*columns, "tags")
+    wanted = spread(table(spark, sf_dir, "characters").select(*columns, "tags"))
     return written(with_packed_values(wanted, "tags", "vals", known_in_dictionary(spark, sf_dir)))
 
 
@@ -22,7 +22,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dictionary tag of every name, series and danbooru_tag."""
     tags = table(spark, sf_dir, "danbooru_tags").select("tag", "category", "post_count", "line_no")
     entries = canonical.canonical_entries(tags, aliases_of_tags(spark, sf_dir), table(spark, sf_dir, "tag_aliases"))
-    rows = tokenize.spread(table(spark, sf_dir, "characters").select("id", "name", "series", "danbooru_tag"), spark)
+    rows = spread(table(spark, sf_dir, "characters").select("id", "name", "series", "danbooru_tag"))
     return canonical.map_values(rows, "id", ["name", "series", "danbooru_tag"], "series", entries)
 
 
@@ -104,20 +104,20 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return tokenize.encode_texts(tokenize.spread(documents, spark), "doc_id", "text", tokenize.vocabulary())
+    return tokenize.encode_texts(spread(documents), "doc_id", "text", tokenize.vocabulary())
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold passages of benchmark items."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     items = table(spark, sf_dir, "benchmark").select("item_id", "text")
-    return leakage.leaks(tokenize.spread(documents, spark), "doc_id", "text", items).select("item_id", "doc_id")
+    return leakage.leaks(spread(documents), "doc_id", "text", items).select("item_id", "doc_id")
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of every document."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return sentences.split_sentences(tokenize.spread(documents, spark), "doc_id", "text")
+    return sentences.split_sentences(spread(documents), "doc_id", "text")
 
 
 QUERIES = {
