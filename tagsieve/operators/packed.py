@@ -36,8 +36,8 @@ _OPEN = r"""(?:"[^"]*+|'[^']*+|“[^”]*+)$"""
 #: A value stands between marks, blanks or the ends of the text.
 _BEFORE = rf"(?<![^{_INSIDE}\s])"
 _AFTER = rf"(?![^{_INSIDE}\s])"
-#: Text that only blanks can separate: underscores inside its pieces, so that blanks are free to stand between them.
-_BLANKS = r"(?:[^\W_]{2}_|_[^\W_]{2})\S*\s+\S|\S\s+\S*(?:[^\W_]{2}_|_[^\W_]{2})"
+#: Words joined by an underscore: blanks of such a text are free to separate values.
+_JOINED = r"[^\W_]{2}_|_[^\W_]{2}"
 
 
 def java_quote(text: str) -> str:
@@ -130,8 +130,12 @@ def _score_columns(masked: Column) -> dict[str, Column]:
     return out
 
 
-def _kind_from_scores() -> Column:
-    """The kind by the columns of _score_columns: a key of SINGLE, 'mixed', 'blank' or 'none'."""
+def _kind_from_scores(listed: bool) -> Column:
+    """The kind by the columns of _score_columns: a key of SINGLE, 'mixed', 'blank' or 'none'.
+
+    ``listed``: values that hold marks are known, so every mark that is left separates. Without a list one or two other
+    marks in a record whose leading mark is regular are taken to stand inside values.
+    """
     n = {k: F.col(f"_n_{k}") for k in SINGLE}
     top = F.greatest(*n.values())
     mixing = sum((n[k] > 0).cast("int") for k in MIXING)
@@ -145,8 +149,8 @@ def _kind_from_scores() -> Column:
         same = ((before == 0) & ((after <= 1) | (after >= n[k] - 1))) | ((before >= n[k] - 1) & (after >= n[k] - 1))
         alike = F.when((n[k] == top) & (top > 0), same).otherwise(alike)
     return (
-        F.when(top == 0, F.when(F.col("_masked").rlike(_BLANKS), "blank").otherwise("none"))
-        .when((mixing >= 2) & (others == 0) & ~(alike & (minor <= 2) & (top >= 4)), "mixed")
+        F.when(top == 0, F.when(F.col("_plain").rlike(r"\S\s+\S") & F.col("_whole").rlike(_JOINED), "blank").otherwise("none"))
+        .when((mixing >= 2) & (others == 0) & (F.lit(listed) | ~(alike & (minor <= 2) & (top >= 4))), "mixed")
         .otherwise(single)
     )
 
@@ -199,7 +203,7 @@ def with_packed_values(df: DataFrame, text_col: str, out: str = "vals", known: s
     # What separates is counted in a skeleton of the text: marks that touch an underscore are no marks, words are one letter.
     no_touch = F.when(F.contains("_masked", F.lit("_")), F.regexp_replace("_masked", rf"{_CLASS}?_{_CLASS}|{_CLASS}_", "k")).otherwise(F.col("_masked"))
     staged = staged.withColumn("_bare", F.regexp_replace(no_touch, rf"[^{_INSIDE} ]+", "x"))
-    staged = staged.withColumns(_score_columns(F.col("_bare"))).withColumn("_kind", _kind_from_scores())
+    staged = staged.withColumns(_score_columns(F.col("_bare"))).withColumn("_kind", _kind_from_scores(known is not None))
     pieces = F.lit(None).cast("array<string>")
     for k in ["none", "blank", "mixed", *SINGLE]:
         pieces = F.when(F.col("_kind") == k, _pieces(F.col("_whole"), k, None)).otherwise(pieces)

@@ -29,7 +29,9 @@ CASES = [
     ("a, b;c | d\ne , f", ["a", "b", "c", "d", "e", "f"]),
     ("a b, hush; listen, c d, e f, g h", ["a b", "hush; listen", "c d", "e f", "g h"]),
     ("x y, bread, butter, z", ["x y", "bread, butter", "z"]),
-    ("one two, sun; moon, three four, five six, seven, eight", ["one two", "sun; moon", "three four", "five six", "seven", "eight"]),
+    ("one two, sun; moon, three four, five six, seven, eight", ["one two", "sun", "moon", "three four", "five six", "seven", "eight"]),
+    ("jade_bell,_leaning_zeshavi ナクス", ["jade_bell,_leaning_zeshavi", "ナクス"]),
+    ('"blue_hair" "red_eyes"', ["blue_hair", "red_eyes"]),
     ('"a, b", c, \'d, e\', “f, g”', ["a, b", "c", "d, e", "f, g"]),
     ('"so-called ""hero""", b, c', ['so-called "hero"', "b", "c"]),
     ('so-called "hero", b, c', ['so-called "hero"', "b", "c"]),
@@ -56,6 +58,11 @@ def test_cases(spark, k):
     assert [(c[0], g) for c, g in zip(CASES, got)] == [(c[0], c[1]) for c in CASES]
 
 
+def test_regular_record_without_a_list_of_known_values(spark):
+    text = "one two, sun; moon, three four, five six, seven, eight"
+    assert split(spark, [text, "a, b;c,d , e;f"], None) == [["one two", "sun; moon", "three four", "five six", "seven", "eight"], ["a", "b", "c", "d", "e", "f"]]
+
+
 def test_very_long_text(spark):
     values = [f"value {i}" for i in range(60_000)]
     long_piece = "x" * 1_000_000
