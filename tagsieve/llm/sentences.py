@@ -91,7 +91,10 @@ _CASELESS = regex.compile(r"[\p{Lo}\p{M}\p{Lm}]")
 _GERMAN = regex.compile(r"\b(?:der|die|das|und|wurde|für|nicht|trug|reicht|enthält)\b")
 _NO_ORDINAL = regex.compile(r"[.,\d]$|(?i:\b(?:nr|bd|bde|abb|kap|s|abs|art|band|kapitel|nummer|seite)\.?\s+)$")
 _ENDED = regex.compile(rf"[\p{{SB=STerm}}\p{{SB=ATerm}}…]{_SPACE}?{_CLOSERS}*$")
-_SMALL_START = regex.compile(r"(?<![\p{L}\p{M}.])(\p{L}\p{Ll}{2,})(?:\.(?!\.)|[!?]+)[ \t]+[\"“]?\p{Ll}+(?![\p{L}])")
+_SMALL_START = regex.compile(r"(?:(?<![\p{L}\p{M}.])(\p{L}\p{Ll}+)|(?<=[\p{L},] )(\p{Nd}+))(?:\.(?!\.)|[!?]+)[ \t\xa0]+[\"“]?\p{Ll}+(?![\p{L}])")
+_REFERENCE_END = regex.compile(rf"\b(?:{'|'.join(map(regex.escape, sorted(_REFERENCE)))})\.$", regex.IGNORECASE)
+#: Characters by which lines may fall short of the longest and still be full.
+SLACK = 3
 _SOLE_WORD = regex.compile(r"[\s\"“«(\[]*\p{L}+$")
 
 
@@ -108,7 +111,9 @@ def _line_blocks(text: str) -> list[tuple[int, int]]:
         lines.append((at, m.start()))
         at = m.end()
     lines.append((at, len(text)))
-    width = max(len(text[a:b].rstrip()) for a, b in lines)
+    lengths = sorted(len(text[a:b].rstrip()) for a, b in lines)
+    # One line may stick out of the width that the others keep to.
+    width = lengths[-2] if len(lengths) > 3 and lengths[-1] - lengths[-2] <= 10 else lengths[-1]
     wrapped = len(lines) > 1 and (50 <= width <= 120 or width < 50 and _runs_on(text, lines))
     blocks: list[tuple[int, int]] = []
     last: tuple[int, int] | None = None
@@ -121,10 +126,11 @@ def _line_blocks(text: str) -> list[tuple[int, int]]:
         if last is not None:
             before = text[last[0] : last[1]].rstrip()
             first = line.split(None, 1)[0]
-            full = wrapped and len(before) + 1 + len(first) > width
+            # The longest line may be a little longer than the width it was wrapped at.
+            full = wrapped and len(before) + 1 + len(first) > width - SLACK
             if _BULLET.match(text, a, b) and not full or _BULLET.match(text, a, b) and line[0] in "*•-+" and (_ENDED.search(before) or _TAGS.match(before)):
                 joined = False
-            elif _NUMBERED.match(text, a, b) and (not full or _ENDED.search(before)):
+            elif _NUMBERED.match(text, a, b) and (not full or _ENDED.search(before) and not _REFERENCE_END.search(before)):
                 joined = False
             elif _TAGS.match(before):
                 joined = False
@@ -202,7 +208,7 @@ def _ends(text: str, start: int, at: int, end: int, stop: int, small: bool, germ
 
 def _without_capitals(text: str) -> bool:
     """Whether sentences of the text start with small letters: one does behind a word that is no abbreviation."""
-    return any(m.group(1).lower() not in _ABBREVIATION for m in _SMALL_START.finditer(text))
+    return any((m.group(1) or "").lower() not in _ABBREVIATION for m in _SMALL_START.finditer(text))
 
 
 def _goes_on(text: str, opening: str, end: int, stop: int) -> bool:
