@@ -93,6 +93,7 @@ _NO_ORDINAL = regex.compile(r"[.,\d]$|(?i:\b(?:nr|bd|bde|abb|kap|s|abs|art|band|
 _ENDED = regex.compile(rf"[\p{{SB=STerm}}\p{{SB=ATerm}}…]{_SPACE}?{_CLOSERS}*$")
 _SMALL_START = regex.compile(r"(?:(?<![\p{L}\p{M}.])(\p{L}\p{Ll}+)|(?<=[\p{L},] )(\p{Nd}+))(?:\.(?!\.)|[!?]+)[ \t\xa0]+[\"“]?\p{Ll}+(?![\p{L}])")
 _REFERENCE_END = regex.compile(rf"\b(?:{'|'.join(map(regex.escape, sorted(_REFERENCE)))})\.$", regex.IGNORECASE)
+_SPACED = regex.compile(r"[^\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]*")
 #: Characters by which lines may fall short of the longest and still be full.
 SLACK = 3
 _SOLE_WORD = regex.compile(r"[\s\"“«(\[]*\p{L}+$")
@@ -126,8 +127,9 @@ def _line_blocks(text: str) -> list[tuple[int, int]]:
         if last is not None:
             before = text[last[0] : last[1]].rstrip()
             first = line.split(None, 1)[0]
-            # The longest line may be a little longer than the width it was wrapped at.
-            full = wrapped and len(before) + 1 + len(first) > width - SLACK
+            # A line can break at any character of a script without spaces. The longest line may stick out of the width.
+            least = max(1, _SPACED.match(first).end())
+            full = wrapped and len(before) + 1 + least > width - SLACK
             if _BULLET.match(text, a, b) and not full or _BULLET.match(text, a, b) and line[0] in "*•-+" and (_ENDED.search(before) or _TAGS.match(before)):
                 joined = False
             elif _NUMBERED.match(text, a, b) and (not full or _ENDED.search(before) and not _REFERENCE_END.search(before)):

@@ -140,6 +140,7 @@ SENTENCES = [
     ("ตัวละครนี้ถือร่ม ค่าน้ำหนัก 0.65 เหมาะที่สุด แฟนคลับชอบ", ["ตัวละครนี้ถือร่ม", "ค่าน้ำหนัก 0.65 เหมาะที่สุด", "แฟนคลับชอบ"]),
     ("Notes on Things\nIt is here. Fine.\n\n- first point\n2. second point\n", ["Notes on Things", "It is here.", "Fine.", "- first point", "2. second point"]),
     ("This is a running sentence that was\nwrapped at a narrow width by someone.\nAnother one ends here.", ["This is a running sentence that was\nwrapped at a narrow width by someone.", "Another one ends here."]),
+    ("外見\nこれは十分に長い文であり、幅を超えるほど続いていくので折り返しのように見える。すごい！", ["外見", "これは十分に長い文であり、幅を超えるほど続いていくので折り返しのように見える。", "すごい！"]),
     ("one is here. another follows mr. bell. the third!", ["one is here.", "another follows mr. bell.", "the third!"]),
     ("It rang.Use it.See a.txt v1.2.3 now", ["It rang.", "Use it.", "See a.txt v1.2.3 now"]),
     ('"멈춰! 그건 내 거야."라고 Ann이 외쳤다. clock_work는 다르다.', ['"멈춰! 그건 내 거야."라고 Ann이 외쳤다.', "clock_work는 다르다."]),
