@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 SHINGLE, PASSAGE, KEPT = (5, 6), (12, 25), (6, 19)
 #: Tokens in front of which no edit is allowed: texts of the same manner share short runs with few differing words.
 FIRM = (4, 10)
+#: Longest gap between linked runs, in tokens.
+GAP = 8
 #: Sketch hashes in one broadcast.
 BLOCK = 2_000_000
 
@@ -98,32 +100,30 @@ def allowed_edits(span: int, kind: int) -> int:
     return (span + span // 20) // 10 if span >= (40, 50)[kind] else max(0, span - FIRM[kind]) // 10
 
 
-def best_passage(item: np.ndarray, document: np.ndarray, seeds: list[tuple[int, int]], kind: int) -> tuple[int, int]:
+def _runs(places: np.ndarray, others: np.ndarray, size: int) -> list[tuple[int, int, int]]:
+    """(begin, end, diagonal) in the item of maximal runs of equal tokens that hold a shared shingle."""
+    diagonals = others - places
+    order = np.lexsort((places, diagonals))
+    d, i = diagonals[order], places[order]
+    starts = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (i[1:] != i[:-1] + 1)))
+    ends = np.append(starts[1:], len(i)) - 1
+    return list(zip(i[starts].tolist(), (i[ends] + size).tolist(), d[starts].tolist()))
+
+
+def best_passage(item: np.ndarray, document: np.ndarray, places: np.ndarray, others: np.ndarray, kind: int) -> tuple[int, int]:
     """(span, edits) in tokens of the longest chain whose edits are allowed.
 
-    ``seeds`` are (place in item, place in document) of shared shingles. Runs of equal tokens around the seeds are
-    linked where both gaps are small; a gap costs the longer of its sides.
+    ``places`` and ``others`` are where shared shingles stand in item and document. Runs of equal tokens are linked where
+    both gaps are small; a gap costs the longer of its sides.
     """
-    size = SHINGLE[kind]
-    runs: list[list[int]] = []
-    covered: dict[int, int] = {}
-    for i, j in sorted(seeds):
-        d = j - i
-        if covered.get(d, -1) >= i:
-            continue
-        a, b = i, i + size
-        while a > 0 and a + d > 0 and item[a - 1] == document[a + d - 1]:
-            a -= 1
-        while b < len(item) and b + d < len(document) and item[b] == document[b + d]:
-            b += 1
-        covered[d] = b - 1
-        runs.append([a, b, d])
-    extra: list[list[int]] = []
+    if not len(places):
+        return 0, 0
+    runs = _runs(places, others, SHINGLE[kind])
+    extra: list[tuple[int, int, int]] = []
     for a, b, d in runs:  # short equal runs behind and before a gap of one or two tokens on a near diagonal
         for side in (1, -1):
-            at, shift, budget = (b if side > 0 else a - 1), d, 6
-            while budget:
-                budget -= 1
+            at, shift = (b if side > 0 else a - 1), d
+            for _ in range(6):
                 found = None
                 for gap in ((1, 1), (1, 0), (0, 1), (2, 1), (1, 2), (2, 2), (2, 0), (0, 2)):
                     i, j = at + side * gap[0], at + shift + side * gap[1]
@@ -138,26 +138,33 @@ def best_passage(item: np.ndarray, document: np.ndarray, seeds: list[tuple[int,
                     break
                 n, i, j = found
                 low = i if side > 0 else i - n + 1
-                extra.append([low, low + n, j - i])
+                extra.append((low, low + n, j - i))
                 at, shift = (i + n if side > 0 else i - n), j - i
-    runs = [list(r) for r in sorted({tuple(r) for r in runs + extra})]
+    runs = sorted({*runs, *extra})
     best = (0, 0)
-    # states by run: Pareto set of (start in item, edits)
+    # For each run the ways to reach it: (begin of the chain in the item, edits so far). Earlier runs that it can follow
+    # lie on near diagonals and end near its begin.
+    by_diagonal: dict[int, list[int]] = {}
     chains: list[list[tuple[int, int]]] = []
-    for k, (a, b, d) in enumerate(runs):
-        mine = [(a, 0)]
-        for q in range(max(0, k - 40), k):
-            a2, b2, d2 = runs[q]
-            lap = max(0, b2 - a, (b2 + d2) - (a + d))
-            if b - a <= lap or a < a2:
-                continue
-            gi, gj = a + lap - b2, a + d + lap - (b2 + d2)
-            if max(gi, gj) > 8 or min(gi, gj) < 0:
-                continue
-            mine += [(s, e + max(gi, gj)) for s, e in chains[q]]
-        mine = sorted(set(mine))[:24]
-        chains.append(mine)
+    for a, b, d in runs:
+        mine = {(a, 0)}
+        for near in range(d - GAP, d + GAP + 1):
+            for q in reversed(by_diagonal.get(near, ())):
+                a2, b2, d2 = runs[q]
+                if b2 < a - GAP:
+                    break
+                lap = max(0, b2 - a, (b2 + d2) - (a + d))
+                if b - a <= lap:
+                    continue
+                gap = max(a + lap - b2, a + d + lap - (b2 + d2))
+                if gap <= GAP:
+                    mine.update((s, e + gap) for s, e in chains[q])
+        fewest: dict[int, int] = {}
         for s, e in mine:
+            fewest[s] = min(e, fewest.get(s, e))
+        chains.append(list(fewest.items()))
+        by_diagonal.setdefault(d, []).append(len(chains) - 1)
+        for s, e in fewest.items():
             span = b - s
             if span > best[0] and e <= allowed_edits(span, kind):
                 best = (span, e)
@@ -190,13 +197,14 @@ def _found(block: dict, least: tuple[int, int]):
                     left = np.searchsorted(keys, shingles[keys[at] == shingles])
                     right = np.searchsorted(keys, shingles[keys[at] == shingles], side="right")
                     hit = {int(owners[k]) for a, b in zip(left, right) for k in range(a, b)}
-                    where: dict[int, list[int]] = {}
-                    for j, s in enumerate(shingles.tolist()):
-                        where.setdefault(s, []).append(j)
+                    order = np.argsort(shingles, kind="stable")
+                    ranked = shingles[order]
                     for owner in hit:
                         item_id, item, own = items[owner]
-                        seeds = [(i, j) for i, s in enumerate(own.tolist()) for j in where.get(s, ())[:50]]
-                        span, edits = best_passage(item, hashes, seeds, kind)
+                        low, high = np.searchsorted(ranked, own), np.searchsorted(ranked, own, side="right")
+                        places = np.repeat(np.arange(len(own)), high - low)
+                        others = order[np.concatenate([np.arange(x, y) for x, y in zip(low, high)])] if len(places) else places
+                        span, edits = best_passage(item, hashes, places, others, kind)
                         if span >= least[kind]:
                             rows.append((item_id, doc, span, edits))
             yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["item_id", "_id", "span", "edits"]).astype({"span": "int32", "edits": "int32"}), preserve_index=False) if rows else pa.RecordBatch.from_arrays(

@@ -114,6 +114,13 @@ def test_leaks_in_blocks_and_without_spaces(spark, monkeypatch):
     assert got == {(2, 0), (4, 2), (5, 3)}
 
 
+def test_leaks_in_repetitive_texts(spark):
+    items = [(1, "la " * 60), (2, " ".join(WORDS[:60]))]
+    docs = [(0, "la " * 3000 + " ".join(WORDS[10:40]) + " la" * 3000), (1, "la " * 11), (2, " ".join(WORDS[:5]) * 300)]
+    got = {(r["item_id"], r["doc_id"]) for r in leakage.leaks(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(1, 0), (2, 0)}
+
+
 def test_sketches_meet_every_passage_with_one_edit():
     rng = random.Random(3)
     memo = {}
