@@ -17,7 +17,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagsieve.functions.text import strip
+from tagsieve.functions.text import blank, strip
 
 #: Marks that can separate values, by the name of the kind. " / " separates only between blanks.
 SINGLE = {"comma": ",", "semicolon": ";", "bar": "|", "line": "\n", "tab": "\t", "ideographic": "、", "fullwidth": "，", "slash": "\x01"}
@@ -190,27 +190,37 @@ def _unquoted(v: Column) -> Column:
     )
 
 
-def with_packed_values(df: DataFrame, text_col: str, out: str = "vals", known: str | None = None) -> DataFrame:
-    """Add the array of the values of a packed column, in order.
+def _apart(c: Column) -> Column:
+    """The same value, kept out of rewriting: the condition always holds, but is no pure function of the row, so the optimizer
+    does not copy the expression into filters below, where its parts would multiply."""
+    return F.when(F.monotonically_increasing_id() >= 0, c)
+
+
+def with_packed_values(df: DataFrame, text_col: str, out: str = "vals", known: str | None = None, kind_out: str | None = None) -> DataFrame:
+    """Add the array of the values of a packed column, in order; ``kind_out`` names a column for the kind of delimiter.
 
     NULL and blank texts give an empty array. Pieces without content are dropped. Values are trimmed, quotes around them
     removed and doubled quotes inside made single; nothing else is changed and repeated values stay. The steps are
     columns of their own so that each is computed once.
     """
-    kept = [F.col(f"`{c}`") for c in df.columns if c != out]
-    staged = df.select(*kept, F.replace(strip(F.col(f"`{text_col}`")), F.lit(" / "), F.lit("\x01")).alias("_whole"))
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in (out, kind_out)]
+    whole = F.replace(strip(F.col(f"`{text_col}`")), F.lit(" / "), F.lit("\x01"))
+    staged = df.select(*kept, whole.alias("_whole"))
     staged = staged.withColumn("_plain", _without_quoted(F.col("_whole"))).withColumn("_masked", _without_known(F.col("_plain"), known))
     # What separates is counted in a skeleton of the text: marks that touch an underscore are no marks, words are one letter.
     no_touch = F.when(F.contains("_masked", F.lit("_")), F.regexp_replace("_masked", rf"{_CLASS}?_{_CLASS}|{_CLASS}_", "k")).otherwise(F.col("_masked"))
     staged = staged.withColumn("_bare", F.regexp_replace(no_touch, rf"[^{_INSIDE} ]+", "x"))
-    staged = staged.withColumns(_score_columns(F.col("_bare"))).withColumn("_kind", _kind_from_scores(known is not None))
+    staged = staged.withColumns(_score_columns(F.col("_bare"))).withColumn("_kind", _apart(_kind_from_scores(known is not None)))
     pieces = F.lit(None).cast("array<string>")
     for k in ["none", "blank", "mixed", *SINGLE]:
         pieces = F.when(F.col("_kind") == k, _pieces(F.col("_whole"), k, None)).otherwise(pieces)
     if known:
         for k in ["blank", "mixed", *SINGLE]:
             pieces = F.when((F.col("_masked") != F.col("_plain")) & (F.col("_kind") == k), _pieces(F.col("_whole"), k, known)).otherwise(pieces)
-    staged = staged.select(*kept, F.col("_whole").rlike("[\"'“\x01]").alias("_written"), pieces.alias("_pieces"))
+    if kind_out:
+        staged = staged.withColumn(kind_out, F.when(F.col("_whole") != "", F.col("_kind")))
+        kept.append(F.col(kind_out))
+    staged = staged.select(*kept, F.col("_whole").rlike("[\"'“\x01]").alias("_written"), _apart(pieces).alias("_pieces"))
     values = F.filter(F.transform("_pieces", lambda p: F.replace(strip(_unquoted(p)), F.lit("\x01"), F.lit(" / "))), lambda v: v != "")
     none = F.array().cast("array<string>")
     return staged.select(*kept, F.coalesce(F.when(F.col("_written") | (F.get("_pieces", 0) == ""), values).otherwise(F.col("_pieces")), none).alias(out))
@@ -225,3 +235,17 @@ def explode_packed(df: DataFrame, id_col: str, text_col: str, known: str | None
     values = with_packed_values(two, "_text", "vals", known)
     # The outer form keeps the optimizer from copying the whole expression of vals into an inferred filter below.
     return values.select("rec_id", F.posexplode_outer("vals").alias("pos", "val")).where(F.col("val").isNotNull())
+
+
+def delimiter_profile(df: DataFrame, source_col: str, text_col: str, known: str | None = None) -> DataFrame:
+    """(source, kind, records, share, mean_pieces, spread) for each source and kind of delimiter that its records use.
+
+    ``spread`` is the standard deviation of the number of pieces over its mean, the consistency of a kind within a source.
+    NULL and blank texts have no kind and are left out; a NULL source is a source of its own.
+    """
+    two = df.select(F.col(f"`{source_col}`").alias("source"), F.col(f"`{text_col}`").alias("_text")).where(~blank("_text"))
+    sized = with_packed_values(two, "_text", "vals", known, "kind").select("source", "kind", F.size("vals").alias("n"))
+    grouped = sized.groupBy("source", "kind").agg(F.count(F.lit(1)).alias("records"), F.avg("n").alias("mean_pieces"), F.stddev_pop("n").alias("_sd"))
+    totals = grouped.groupBy(F.col("source").alias("_s")).agg(F.sum("records").alias("_all"))
+    joined = grouped.join(totals, F.col("source").eqNullSafe(F.col("_s")))
+    return joined.select("source", "kind", "records", (F.col("records") / F.col("_all")).alias("share"), "mean_pieces", (F.col("_sd") / F.col("mean_pieces")).alias("spread"))

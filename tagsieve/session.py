@@ -27,7 +27,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
-    folder = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tagsieve-checkpoint-")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tagsieve-checkpoint-")
     context.setCheckpointDir(folder)
 
 
@@ -43,13 +43,26 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+_WRITTEN: list[str] = []
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write the frame as a Parquet table in the shared folder and read it back; columnar and compressed, unlike a checkpoint."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_written(spark: SparkSession) -> int:
+    """Delete the tables that this process wrote; frames that still read them become unusable. Returns their number."""
+    jvm, dropped = spark.sparkContext._jvm, 0
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        dropped += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return dropped
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Even out costly row-wise work where the input comes in fewer partitions than there are cores; large inputs stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism

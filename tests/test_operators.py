@@ -183,3 +183,12 @@ def test_readers(spark, tmp_path):
     (tmp_path / "pages").mkdir()
     (tmp_path / "pages" / "page_7.html").write_text("<p>x</p>")
     assert readers.read_pages(spark, str(tmp_path / "pages")).first()[:] == (7, "<p>x</p>")
+
+
+def test_written_tables_can_be_dropped(spark):
+    from tagsieve.session import cut_lineage, drop_written, written
+
+    drop_written(spark)
+    df = written(spark.range(5))
+    assert df.count() == 5 and cut_lineage(df).count() == 5
+    assert drop_written(spark) == 1 and drop_written(spark) == 0

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tagsieve.operators.packed import either, explode_packed, known_pattern, shaped_pattern, with_packed_values
+from tagsieve.operators.packed import delimiter_profile, either, explode_packed, known_pattern, shaped_pattern, with_packed_values
 
 KNOWN = known_pattern(["hush;_listen", "bread,_butter", "|_|", ";)", ":|", "sun|moon_motif", "plain_tag"])
 
@@ -93,6 +93,12 @@ def test_explode_keeps_repeated_rows_and_ignores_other_columns(spark):
     assert rows == [(1, 0, "a"), (1, 0, "a"), (1, 1, "b"), (1, 1, "b")]
 
 
+def test_profile_of_sources(spark):
+    df = spark.createDataFrame([("s", "a, b, c"), ("s", "a, b"), ("s", "x;y"), ("t", "aa_b cc_d"), (None, "one"), ("t", None), ("t", " ")], "source string, tags string")
+    got = {(r["source"], r["kind"]): (r["records"], round(r["share"], 3), r["mean_pieces"], round(r["spread"], 3)) for r in delimiter_profile(df, "source", "tags").collect()}
+    assert got == {("s", "comma"): (2, 0.667, 2.5, 0.2), ("s", "semicolon"): (1, 0.333, 2.0, 0.0), ("t", "blank"): (1, 1.0, 2.0, 0.0), (None, "none"): (1, 1.0, 1.0, 0.0)}
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "id long, tags string")
     assert explode_packed(df, "id", "tags").collect() == []
