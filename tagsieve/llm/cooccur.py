@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 
 from tagsieve.session import written
 
+#: Items sent to the executors; with a least count of one basket in c and s items a basket there are at most c * s.
+MOST_ITEMS = 5_000_000
 #: Pair codes held in a task before they are merged.
 CODES = 4_000_000
 #: Width of the bins of log10 tails.
@@ -115,11 +117,14 @@ def pair_counts(baskets: DataFrame, min_rows: int, max_rows: int | None = None,
     if max_rows is not None:
         kept = kept.where(F.col("n_item") <= max_rows)
     # UTF-8 order equals code point order, and the codes follow it.
-    rows = sorted(kept.collect(), key=lambda r: r["item"].encode("utf-8", "surrogatepass"))
+    listed = kept.limit(MOST_ITEMS + 1).collect()
+    if len(listed) > MOST_ITEMS:
+        raise ValueError(f"more than {MOST_ITEMS} items stand in {min_rows} baskets; take a larger share of the baskets as least count")
+    rows = sorted(listed, key=lambda r: r["item"].encode("utf-8", "surrogatepass"))
     items, m = [r["item"] for r in rows], max(1, len(rows))
     coded = baskets.select("items").mapInArrow(_count_pairs(items), "code long, n long")
     totals = coded.groupBy("code").agg(F.sum("n").alias("n_ab")).where(F.col("n_ab") >= min_rows)
-    totals = totals.select((F.col("code") / m).cast("long").alias("a"), (F.col("code") % m).alias("b"), "n_ab") if m < 2**26 else totals
+    totals = totals.select(F.expr(f"code div {m}").alias("a"), F.expr(f"code % {m}").alias("b"), "n_ab")
     names = spark.createDataFrame(pd.DataFrame({"k": range(len(rows)), "item": items, "n_item": [r["n_item"] for r in rows]}), "k long, item string, n_item long")
     a = names.select(F.col("k").alias("a"), F.col("item").alias("item_a"), F.col("n_item").alias("n_a"))
     b = names.select(F.col("k").alias("b"), F.col("item").alias("item_b"), F.col("n_item").alias("n_b"))

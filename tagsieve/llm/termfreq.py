@@ -26,7 +26,9 @@ COMMON_PERCENT = 8
 
 
 def _changed(column: pa.Array) -> np.ndarray:
-    return pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+    """Whether each value differs from the one before; NULL equals NULL only."""
+    differs = pc.fill_null(pc.not_equal(column[1:], column[:-1]), False)
+    return pc.or_(differs, pc.xor(column[1:].is_null(), column[:-1].is_null())).to_numpy(zero_copy_only=False)
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -39,7 +41,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = batch.num_rows
         if n == 0:
             continue
-        field, term, rec = batch.column("field"), batch.column("term"), batch.column("rec_id").fill_null(-1)
+        field, term, rec = batch.column("field"), batch.column("term"), batch.column("rec_id")
         new_term = np.ones(n, dtype=bool)
         new_term[1:] = _changed(field) | _changed(term)
         new_record = new_term.copy()

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -190,6 +191,17 @@ def vocabulary(name: str = "byte_bpe_50k", folder: str = FOLDER) -> bytes:
     return Path(folder, f"{name}.tiktoken").read_bytes()
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def _encoder(token: str, content: bytes, pattern: str) -> Encoder:
+    """The encoder of this worker process; the tasks of a query share it and its memory of pieces."""
+    if token not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[token] = Encoder(content, pattern)
+    return _ENCODERS[token]
+
+
 def encode_texts(df: DataFrame, id_col: str, text_col: str, content: bytes, pattern: str = PATTERN) -> DataFrame:
     """(id_col, ids array<int>) for every row of the frame; other columns are not carried.
 
@@ -198,8 +210,10 @@ def encode_texts(df: DataFrame, id_col: str, text_col: str, content: bytes, patt
     """
     shared = df.sparkSession.sparkContext.broadcast(content)
 
+    token = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value, pattern)
+        encoder = _encoder(token, shared.value, pattern)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)

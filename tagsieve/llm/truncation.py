@@ -55,12 +55,11 @@ def plain(value: str) -> str:
     return " ".join(value.lower().replace("_", " ").replace("\\", "").split())
 
 
-def features(text: str, piece: str, tail: str, count: int, source: str, limits: set[int], support: float, completions: float, listed: bool) -> list[int]:
+def features(text: str, piece: str, tail: str, count: int, source: str, at_limit: bool, support: float, completions: float, listed: bool) -> list[int]:
     """Places in the weights of the features of one text that ends with ``piece`` and ``tail`` behind it."""
     stem, mark = (piece, "") if listed else bare(piece)
     words = plain(stem).split(" ")
     lower = stem.lower()
-    at_limit = len(text) in limits or len(text.rstrip()) in limits
     ended = any(c in tail for c in _SEPARATORS) or "/" in tail
     opened = stem[:1] in "\"'“" and len(stem) > 1 or "(" in stem and ")" not in stem
     s, c = _bucket(support), _bucket(completions)
@@ -108,15 +107,12 @@ def value_counts(lists: DataFrame, dictionary: DataFrame) -> DataFrame:
     return joined.select("piece", F.coalesce("support", F.lit(0)).alias("support"), F.coalesce("completions", F.lit(0)).alias("completions"), F.coalesce("listed", F.lit(False)).alias("listed"))
 
 
-def length_limits(texts: DataFrame) -> dict[str, set[int]]:
-    """Pile-up lengths of each source, from (source, text). The result has a few entries; the histogram stays in Spark."""
+def length_limits(texts: DataFrame) -> DataFrame:
+    """(source, n): pile-up lengths of each source, from (source, text)."""
     histogram = texts.groupBy("source", F.length("text").alias("n")).agg(F.count(F.lit(1)).alias("rows"))
     near = histogram.select("source", F.explode(F.sequence(F.col("n") - 5, F.col("n") + 5)).alias("n"), "rows").groupBy("source", "n").agg(F.sum("rows").alias("around"))
     found = histogram.where(F.col("rows") >= LIMIT_ROWS).join(near, ["source", "n"]).where(F.col("rows") * 10 >= LIMIT_TIMES * (F.col("around") - F.col("rows")))
-    limits: dict[str, set[int]] = {}
-    for row in found.select("source", "n").orderBy(F.desc("rows")).limit(10_000).collect():
-        limits.setdefault(row["source"], set()).add(row["n"])
-    return limits
+    return found.select("source", "n")
 
 
 def _spans(text: str, values: list[str]) -> list[tuple[int, int]]:
@@ -131,48 +127,46 @@ def _spans(text: str, values: list[str]) -> list[tuple[int, int]]:
     return out
 
 
-def _examples(limits: dict[str, set[int]]):
-    """mapInPandas function: records (id, source, text, vals) to artificial examples."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for id_, source, text, vals in zip(f["id"], f["source"], f["text"], f["vals"]):
-                rng = np.random.default_rng(zlib.crc32(repr((id_, source)).encode()))
-                spans = _spans(text, list(vals))
-                if len(spans) < 3 or len(spans) < len(vals):
-                    continue
-                inner = len(spans) - 1
-
-                def add(cut: int, k: int, piece: str, tail: str, whole: bool, seen: int, mark: str = "") -> None:
-                    stem = plain(piece)
-                    rows.append((whole, text[:cut] + mark, piece + mark, tail, k + 1, source, stem, 0 if not whole else seen, 0 if whole else seen))
-
+def _examples(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """mapInPandas function: records (id, source, text, vals, limits) to artificial examples."""
+
+    for f in frames:
+        rows = []
+        for id_, source, text, vals, limits in zip(f["id"], f["source"], f["text"], f["vals"], f["limits"]):
+            limits = [] if limits is None else sorted(limits)
+            rng = np.random.default_rng(zlib.crc32(repr((id_, source)).encode()))
+            spans = _spans(text, list(vals))
+            if len(spans) < 3 or len(spans) < len(vals):
+                continue
+            inner = len(spans) - 1
+
+            def add(cut: int, k: int, piece: str, tail: str, whole: bool, seen: int, mark: str = "") -> None:
+                stem = plain(piece)
+                rows.append((whole, text[:cut] + mark, piece + mark, tail, k + 1, source, cut in limits and not mark, stem, 0 if not whole else seen, 0 if whole else seen))
+
+            k = int(rng.integers(1, inner))
+            add(spans[k][1], k, text[slice(*spans[k])], "", True, 1)
+            kind = rng.random()
+            fitting = [m for m in limits if m < spans[inner - 1][1]]
+            if kind < 0.35 and fitting:
+                cut = int(rng.choice(fitting))
+            else:
                 k = int(rng.integers(1, inner))
-                add(spans[k][1], k, text[slice(*spans[k])], "", True, 1)
-                kind = rng.random()
-                fitting = [m for m in limits.get(source, ()) if m < spans[inner - 1][1]]
-                if kind < 0.35 and fitting:
-                    cut = int(rng.choice(fitting))
-                else:
-                    k = int(rng.integers(1, inner))
-                    a, b = spans[k]
-                    cut = int(rng.integers(a + 1, b)) if b - a > 1 and kind < 0.85 else spans[k + 1][0] if rng.random() < 0.5 else max(b + 1, len(text[: spans[k + 1][0]].rstrip()))
-                k = max(i for i in range(inner) if spans[i][0] < cut or i == 0)
                 a, b = spans[k]
-                if cut > b:
-                    tail = text[b:cut]
-                    if any(c in tail for c in _SEPARATORS + "\n/"):
-                        add(cut, k, text[a:b], tail, False, 0)
-                elif cut < b:
-                    fragment = text[a:cut]
-                    quote = text[a - 1] if a and text[a - 1] in "\"'“" else ""
-                    mark = MARKS[int(rng.integers(0, 3))] if rng.random() < 0.15 else ""
-                    if fragment.strip():
-                        add(cut, k, quote + fragment.rstrip(), "", False, 1, mark)
-            yield pd.DataFrame(rows, columns=["whole", "text", "piece", "tail", "n", "source", "stem", "own_support", "own_completions"])
-
-    return run
+                cut = int(rng.integers(a + 1, b)) if b - a > 1 and kind < 0.85 else spans[k + 1][0] if rng.random() < 0.5 else max(b + 1, len(text[: spans[k + 1][0]].rstrip()))
+            k = max(i for i in range(inner) if spans[i][0] < cut or i == 0)
+            a, b = spans[k]
+            if cut > b:
+                tail = text[b:cut]
+                if any(c in tail for c in _SEPARATORS + "\n/"):
+                    add(cut, k, text[a:b], tail, False, 0)
+            elif cut < b:
+                fragment = text[a:cut]
+                quote = text[a - 1] if a and text[a - 1] in "\"'“" else ""
+                mark = MARKS[int(rng.integers(0, 3))] if rng.random() < 0.15 else ""
+                if fragment.strip():
+                    add(cut, k, quote + fragment.rstrip(), "", False, 1, mark)
+        yield pd.DataFrame(rows, columns=["whole", "text", "piece", "tail", "n", "source", "at_limit", "stem", "own_support", "own_completions"])
 
 
 def fit(places: list[list[int]], cut: np.ndarray, rounds: int = 300, decay: float = 2e-6) -> np.ndarray:
@@ -209,17 +203,18 @@ def cut_scores(records: DataFrame, dictionary: DataFrame) -> DataFrame:
     """
     kept = written(records.where(~blank("text") & (F.size("vals") > 0)).select("id", source_key("source").alias("source"), "text", "vals"))
     counts = written(value_counts(kept, dictionary))
-    limits = length_limits(kept)
+    limits = written(length_limits(kept))
     rows = kept.count()
     step = max(1, -(-rows // TRAIN_ROWS))
     sample = kept.where(F.pmod(F.xxhash64("id", "text"), F.lit(step)) == 0)  # the bounded sample the model is fitted on
-    schema = "whole boolean, text string, piece string, tail string, n int, source string, stem string, own_support long, own_completions long"
-    examples = sample.mapInPandas(_examples(limits), schema)
+    by_source = limits.groupBy("source").agg(F.collect_set("n").alias("limits"))
+    schema = "whole boolean, text string, piece string, tail string, n int, source string, at_limit boolean, stem string, own_support long, own_completions long"
+    examples = sample.join(by_source, "source", "left").mapInPandas(_examples, schema)
     known = counts.withColumnRenamed("piece", "stem")
     train = examples.join(known, "stem", "left").toPandas().sort_values(["text", "whole"])
     places = [
-        features(t, p, tail, n, s, limits.get(s, set()), max(0, (0 if pd.isna(a) else a) - oa), max(0, (0 if pd.isna(c) else c) - oc), li is True or li == True)  # noqa: E712
-        for t, p, tail, n, s, a, c, li, oa, oc in zip(*(train[x] for x in ("text", "piece", "tail", "n", "source", "support", "completions", "listed", "own_support", "own_completions")))
+        features(t, p, tail, n, s, m, max(0, (0 if pd.isna(a) else a) - oa), max(0, (0 if pd.isna(c) else c) - oc), li is True or li == True)  # noqa: E712
+        for t, p, tail, n, s, m, a, c, li, oa, oc in zip(*(train[x] for x in ("text", "piece", "tail", "n", "source", "at_limit", "support", "completions", "listed", "own_support", "own_completions")))
     ]
     shared = records.sparkSession.sparkContext.broadcast(fit(places, ~train["whole"].to_numpy(bool)).astype(np.float32))
 
@@ -227,14 +222,16 @@ def cut_scores(records: DataFrame, dictionary: DataFrame) -> DataFrame:
         w = shared.value
         for f in frames:
             out = np.empty(len(f))
-            columns = (f[x] for x in ("text", "piece", "n", "source", "support", "completions", "listed"))
-            for k, (t, p, n, s, a, c, li) in enumerate(zip(*columns)):
+            columns = (f[x] for x in ("text", "piece", "n", "source", "at_limit", "support", "completions", "listed"))
+            for k, (t, p, n, s, m, a, c, li) in enumerate(zip(*columns)):
                 at = t.rfind(p)
                 tail = t[at + len(p) :].lstrip("\"'”") if at >= 0 else ""
-                out[k] = w[features(t, p, tail, n, s, limits.get(s, set()), a, c, bool(li))].sum()
+                out[k] = w[features(t, p, tail, n, s, bool(m), a, c, bool(li))].sum()
             yield pd.DataFrame({"id": f["id"], "source": f["source"], "raw": 1 / (1 + np.exp(-out))})
 
-    last = kept.select("id", "source", "text", F.element_at("vals", -1).alias("piece"), F.size("vals").alias("n"))
+    # Two keys, so that a source with most of the rows is spread over its lengths.
+    marked = kept.withColumn("n", F.length("text")).join(limits.withColumn("at_limit", F.lit(True)), ["source", "n"], "left").drop("n")
+    last = marked.select("id", "source", "text", F.coalesce("at_limit", F.lit(False)).alias("at_limit"), F.element_at("vals", -1).alias("piece"), F.size("vals").alias("n"))
     exact = plain_form("piece")
     stem = F.regexp_replace("piece", r"(?s)(?<=.)(?:\.\.\.|…|\x{fffd})$", "")
     # A value that ends in a mark of omission by itself is looked up as it stands first.
@@ -243,7 +240,7 @@ def cut_scores(records: DataFrame, dictionary: DataFrame) -> DataFrame:
     by_stem = counts.select(F.col("piece").alias("_stem"), F.struct("support", "completions", "listed").alias("_b"))
     found = looked.join(by_exact, "_exact", "left").join(by_stem, "_stem", "left").withColumn("_c", F.coalesce("_a", "_b"))
     ready = found.select(
-        "id", "source", "text", "piece", "n",
+        "id", "source", "text", "piece", "n", "at_limit",
         F.coalesce("_c.support", F.lit(0)).alias("support"), F.coalesce("_c.completions", F.lit(0)).alias("completions"), F.coalesce("_c.listed", F.lit(False)).alias("listed"),
     )
     kind = kept.schema["id"].dataType.simpleString()

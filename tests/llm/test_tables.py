@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tagsieve.llm import cooccur, copies, termfreq, truncation
@@ -55,6 +56,8 @@ def test_term_frequencies(spark):
     got = {(r["field"], r["term"]): (r["occurrences"], r["records"]) for r in termfreq.term_frequencies(df).collect()}
     assert got == wanted
     assert termfreq.term_frequencies(df.limit(0)).count() == 0
+    named = df.withColumn("rec_id", F.concat(F.lit("r"), F.col("rec_id")))
+    assert {(r["field"], r["term"]): (r["occurrences"], r["records"]) for r in termfreq.term_frequencies(named).collect()} == wanted
     marks = spark.createDataFrame([(2,), (3,), (8,), (7,)], "k long").select("k", termfreq.usefulness(F.col("k"), F.lit(100)).alias("m")).collect()
     assert {r["k"]: r["m"] for r in marks} == {2: "rare", 3: None, 8: "common", 7: None}
 
@@ -85,6 +88,10 @@ def test_pair_counts(spark):
     wanted = {(a, b, single[a], single[b], n) for (a, b), n in pair.items() if n >= 5}
     got = {tuple(r) for r in cooccur.pair_counts(df, 5).collect()}
     assert got == wanted
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(cooccur, "MOST_ITEMS", 2)
+        with pytest.raises(ValueError):
+            cooccur.pair_counts(df, 5)
     capped = {tuple(r) for r in cooccur.pair_counts(df, 5, max_rows=150).collect()}
     assert capped == {w for w in wanted if max(w[2], w[3]) <= 150}
     long = {tuple(r) for r in cooccur.pair_counts(df.where(F.size("items") > 2000), 2).where("item_a < 'i1002'").collect()}
@@ -164,4 +171,4 @@ def test_cut_texts_of_tiny_and_empty_tables(spark):
 
 def test_limits(spark):
     df = spark.createDataFrame([("s", "x" * n) for n in [*range(20, 60), *[40] * 30]], "source string, text string")
-    assert truncation.length_limits(df) == {"s": {40}}
+    assert [tuple(r) for r in truncation.length_limits(df).collect()] == [("s", 40)]
