@@ -100,6 +100,12 @@ def allowed_edits(span: int, kind: int) -> int:
     return (span + span // 20) // 10 if span >= (40, 50)[kind] else max(0, span - FIRM[kind]) // 10
 
 
+def least_run(kind: int) -> int:
+    """Tokens of the longest run of equal tokens that every allowed chain has: edits cut a span into one part more than there
+    are edits."""
+    return min(-(-(n - allowed_edits(n, kind)) // (allowed_edits(n, kind) + 1)) for n in range(PASSAGE[kind], 5000))
+
+
 def _runs(places: np.ndarray, others: np.ndarray, size: int) -> list[tuple[int, int, int]]:
     """(begin, end, diagonal) in the item of maximal runs of equal tokens that hold a shared shingle."""
     diagonals = others - places
@@ -110,15 +116,20 @@ def _runs(places: np.ndarray, others: np.ndarray, size: int) -> list[tuple[int,
     return list(zip(i[starts].tolist(), (i[ends] + size).tolist(), d[starts].tolist()))
 
 
+LEAST_RUN = (least_run(0), least_run(1))
+
+
 def best_passage(item: np.ndarray, document: np.ndarray, places: np.ndarray, others: np.ndarray, kind: int) -> tuple[int, int]:
     """(span, edits) in tokens of the longest chain whose edits are allowed.
 
     ``places`` and ``others`` are where shared shingles stand in item and document. Runs of equal tokens are linked where
     both gaps are small; a gap costs the longer of its sides.
     """
-    if not len(places):
+    if len(places) <= LEAST_RUN[kind] - SHINGLE[kind]:
         return 0, 0
     runs = _runs(places, others, SHINGLE[kind])
+    if max(b - a for a, b, _ in runs) < LEAST_RUN[kind]:
+        return 0, 0
     extra: list[tuple[int, int, int]] = []
     for a, b, d in runs:  # short equal runs behind and before a gap of one or two tokens on a near diagonal
         for side in (1, -1):
@@ -202,8 +213,9 @@ def _found(block: dict, least: tuple[int, int]):
                     for owner in hit:
                         item_id, item, own = items[owner]
                         low, high = np.searchsorted(ranked, own), np.searchsorted(ranked, own, side="right")
-                        places = np.repeat(np.arange(len(own)), high - low)
-                        others = order[np.concatenate([np.arange(x, y) for x, y in zip(low, high)])] if len(places) else places
+                        met = np.flatnonzero(high > low)
+                        places = np.repeat(met, (high - low)[met])
+                        others = order[np.concatenate([np.arange(low[k], high[k]) for k in met])]
                         span, edits = best_passage(item, hashes, places, others, kind)
                         if span >= least[kind]:
                             rows.append((item_id, doc, span, edits))
