@@ -27,6 +27,6 @@ def test_query_equals_sql(spark, small, name):
 
 
 def test_entry(spark, small):
-    assert entry.entry(spark).columns
+    assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert "p4_found" in packed_queries.QUERIES and packed_queries.QUERIES["p4_found"](spark, small).count() > 0
