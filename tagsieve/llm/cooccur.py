@@ -9,10 +9,10 @@ anything is shuffled: items become integers, each batch of baskets gives pair co
 
 Null model. Item i stands in basket r with probability x_i*y_r / (1 + x_i*y_r), where x and y are fitted so that the
 expected item frequencies and basket sizes equal the observed ones. Items with the same frequency share x and baskets
-of the same size share y, so the fit works on two histograms. A pair's count is then a sum of independent draws over
-baskets (Poisson-binomial, with equal probabilities inside a size class); its upper tail is taken by the saddle point
-with continuity correction. Benjamini-Hochberg values come from a histogram of the logarithms of the tails with the
-upper edge of each bin, so that they are never too small.
+of the same size share y, so the fit works on two histograms, which are taken as they are: no classes are merged. A
+pair's count is then a sum of independent draws over baskets (Poisson-binomial, with equal probabilities inside a size
+class); its upper tail is taken by the saddle point with continuity correction. Benjamini-Hochberg values come from a
+histogram of the logarithms of the tails with the upper edge of each bin, so that they are never too small.
 """
 
 from __future__ import annotations
@@ -34,8 +34,8 @@ MOST_ITEMS = 5_000_000
 CODES = 4_000_000
 #: Width of the bins of log10 tails.
 BIN = 0.01
-#: Histogram classes above this number are merged into neighbouring ones (weighted means), smallest first.
-CLASSES = 256
+#: Cells of a table of probabilities that is held at once; more classes mean more blocks.
+CELLS = 1_000_000
 
 
 def _pair_codes(flat: np.ndarray, offsets: np.ndarray, m: int) -> Iterator[np.ndarray]:
@@ -131,14 +131,11 @@ def pair_counts(baskets: DataFrame, min_rows: int, max_rows: int | None = None,
     return totals.join(a, "a").join(b, "b").select("item_a", "item_b", "n_a", "n_b", "n_ab")
 
 
-def _classes(values: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(values)
-    values, weights = values[order].astype(float), weights[order].astype(float)
-    if len(values) <= CLASSES:
-        return values, weights
-    groups = np.array_split(np.arange(len(values)), CLASSES)
-    total = np.array([weights[g].sum() for g in groups])
-    return np.array([(values[g] * weights[g]).sum() for g in groups]) / total, total
+def _margin(of: np.ndarray, others: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Sum of weights * others / (1 + of_i * others) for each of ``of``, in blocks of CELLS cells."""
+    step = max(1, CELLS // max(1, len(others)))
+    parts = [(weights * others / (1 + np.outer(of[at : at + step], others))).sum(1) for at in range(0, len(of), step)]
+    return np.concatenate(parts) if parts else np.zeros(0)
 
 
 def fit_null(degrees: np.ndarray, items: np.ndarray, sizes: np.ndarray, baskets: np.ndarray, rounds: int = 300) -> tuple[np.ndarray, np.ndarray]:
@@ -148,9 +145,9 @@ def fit_null(degrees: np.ndarray, items: np.ndarray, sizes: np.ndarray, baskets:
     x, y = degrees / np.sqrt(edges), sizes / np.sqrt(edges)
     for _ in range(rounds):
         old = x
-        x = degrees / np.maximum((baskets * y / (1 + np.outer(x, y))).sum(1), 1e-300)
+        x = degrees / np.maximum(_margin(x, y, baskets), 1e-300)
         x = np.minimum(x, 1e12)
-        y = sizes / np.maximum((items * x / (1 + np.outer(y, x))).sum(1), 1e-300)
+        y = sizes / np.maximum(_margin(y, x, items), 1e-300)
         y = np.minimum(y, 1e12)
         if np.max(np.abs(x - old) / np.maximum(x, 1e-300), initial=0) < 1e-9:
             break
@@ -197,15 +194,16 @@ def pair_surprise(baskets: DataFrame, min_rows: int, max_rows: int | None = None
     pairs = written(pair_counts(baskets, min_rows, max_rows, counts))
     by_degree = counts.groupBy("n_item").agg(F.count(F.lit(1)).alias("n")).toPandas()
     by_size = baskets.select(F.greatest(F.size("items"), F.lit(0)).alias("size")).groupBy("size").agg(F.count(F.lit(1)).alias("n")).where("size > 0").toPandas()
-    degrees, items = _classes(by_degree["n_item"].to_numpy(), by_degree["n"].to_numpy())
-    sizes, rows = _classes(by_size["size"].to_numpy(), by_size["n"].to_numpy())
+    degrees, items = by_degree.sort_values("n_item")[["n_item", "n"]].to_numpy(float).T
+    sizes, rows = by_size.sort_values("size")[["size", "n"]].to_numpy(float).T
     x, y = fit_null(degrees, items, sizes, rows)
+    step = min(4000, max(1, CELLS // max(1, len(rows))))
 
     def tails(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for at in range(0, len(f), 4000):
-                part = f.iloc[at : at + 4000]
-                a, b = (np.interp(part[c].to_numpy(float), degrees, x)[:, None] * y for c in ("n_a", "n_b"))
+            for at in range(0, len(f), step):
+                part = f.iloc[at : at + step]
+                a, b = (x[np.searchsorted(degrees, part[c].to_numpy(float))][:, None] * y for c in ("n_a", "n_b"))
                 mean, tail = log_tail(part["n_ab"].to_numpy(float), (a / (1 + a)) * (b / (1 + b)), rows)
                 yield part.assign(expected=mean, log10_p=np.maximum(tail, -1e6))
 

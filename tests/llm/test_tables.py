@@ -127,6 +127,24 @@ def test_surprise_lists_every_pair_with_its_values(spark):
     assert cooccur.pair_surprise(df.limit(0), 5).count() == 0
 
 
+def test_surprise_keeps_every_frequency_and_size(spark):
+    """More distinct frequencies and basket sizes than 256: expected counts are those of the fit on all of them."""
+    rng = np.random.default_rng(5)
+    held = rng.random((900, 700)) < np.outer(np.linspace(0.02, 0.98, 900), np.linspace(0.02, 1, 700) ** 1.4)
+    held[:, 699] |= rng.random(900) < 0.9
+    df = spark.createDataFrame([([f"i{k:03}" for k in np.flatnonzero(b)],) for b in held], "items array<string>")
+    (degrees, items), (sizes, rows) = (np.unique(n[n > 0], return_counts=True) for n in (held.sum(0), held.sum(1)))
+    assert len(degrees) > 256 and len(sizes) > 256
+    x, y = cooccur.fit_null(degrees, items, sizes, rows)
+    p = np.outer(x, y) / (1 + np.outer(x, y))
+    assert np.allclose(p @ rows, degrees, rtol=1e-6) and np.allclose(items @ p, sizes, rtol=1e-6)
+    got = cooccur.pair_surprise(df, 260).collect()
+    assert any(r["item_b"] == "i699" for r in got)
+    for r in got:
+        a, b = (p[np.flatnonzero(degrees == r[c])[0]] for c in ("n_a", "n_b"))
+        assert abs(r["expected"] - (a * b) @ rows) < 1e-6 * r["expected"]
+
+
 VALUES = [f"{a} {b}" for a in ("blue", "red", "long", "short", "ivory", "mint") for b in ("hair", "eyes", "scarf", "gloves", "lantern")] + ["seated", "standing", ":|"]
 
 
