@@ -12,7 +12,8 @@ expected item frequencies and basket sizes equal the observed ones. Items with t
 of the same size share y, so the fit works on two histograms, which are taken as they are: no classes are merged. A
 pair's count is then a sum of independent draws over baskets (Poisson-binomial, with equal probabilities inside a size
 class); its upper tail is taken by the saddle point with continuity correction. Benjamini-Hochberg values come from a
-histogram of the logarithms of the tails with the upper edge of each bin, so that they are never too small.
+histogram of the logarithms of the tails with the upper edge of each bin, so that they are never too small. Every pair
+of the items that are left counts as a test, those below ``min_rows`` with a tail of 1.
 """
 
 from __future__ import annotations
@@ -188,15 +189,17 @@ def pair_surprise(baskets: DataFrame, min_rows: int, max_rows: int | None = None
     """pair_counts with ``expected`` under the null, ``log10_p`` of the upper tail and ``q``, the false-discovery value.
 
     Item frequencies and basket sizes of all items and baskets enter the null, also of those left out as pairs. The
-    number of tests is that of the listed pairs.
+    number of tests is that of all pairs of items which ``min_rows`` and ``max_rows`` admit, listed or not.
     """
     counts = item_counts(baskets) if counts is None else counts
     pairs = written(pair_counts(baskets, min_rows, max_rows, counts))
-    by_degree = counts.groupBy("n_item").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    by_degree = counts.groupBy("n_item").agg(F.count(F.lit(1)).alias("n"), F.count("item").alias("named")).toPandas()
     by_size = baskets.select(F.greatest(F.size("items"), F.lit(0)).alias("size")).groupBy("size").agg(F.count(F.lit(1)).alias("n")).where("size > 0").toPandas()
     degrees, items = by_degree.sort_values("n_item")[["n_item", "n"]].to_numpy(float).T
     sizes, rows = by_size.sort_values("size")[["size", "n"]].to_numpy(float).T
     x, y = fit_null(degrees, items, sizes, rows)
+    admitted = (by_degree["n_item"] >= min_rows) & (max_rows is None or by_degree["n_item"] <= max_rows)
+    k = int(by_degree["named"][admitted].sum())
     step = min(4000, max(1, CELLS // max(1, len(rows))))
 
     def tails(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -211,6 +214,6 @@ def pair_surprise(baskets: DataFrame, min_rows: int, max_rows: int | None = None
     tested = written(pairs.mapInPandas(tails, schema)).withColumn("bin", F.greatest(F.ceil(F.col("log10_p") / BIN), F.lit(-40_000)))
     bins = tested.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("bin")  # at most 40,001 rows
     upper = np.power(10.0, bins["bin"].to_numpy(float) * BIN)
-    q = np.minimum.accumulate((upper * bins["n"].sum() / np.maximum(bins["n"].cumsum().to_numpy(float), 1))[::-1])[::-1]
+    q = np.minimum.accumulate((upper * (k * (k - 1) // 2) / np.maximum(bins["n"].cumsum().to_numpy(float), 1))[::-1])[::-1]
     values = baskets.sparkSession.createDataFrame(pd.DataFrame({"bin": bins["bin"].astype("int64"), "q": np.minimum(q, 1.0)}), "bin long, q double")
     return tested.join(values, "bin").drop("bin")

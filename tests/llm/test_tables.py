@@ -145,6 +145,23 @@ def test_surprise_keeps_every_frequency_and_size(spark):
         assert abs(r["expected"] - (a * b) @ rows) < 1e-6 * r["expected"]
 
 
+def test_false_discovery_values_count_every_pair_that_could_be_listed(spark):
+    """Pairs of frequent items that are counted but stay below the least count are tests too."""
+    rng = random.Random(6)
+    baskets = [sorted({*rng.sample([f"t{k:02}" for k in range(60)], 3), *(["x", "y"] if rng.random() < 0.03 else [])}) for _ in range(600)] + [["rare", None]] * 4
+    df = spark.createDataFrame([(b,) for b in baskets], "items array<string>")
+    for most in (None, 30):
+        single = Counter(t for b in baskets for t in b if t)
+        kept = [t for t, n in single.items() if 5 <= n <= (most or n)]
+        tests = len(kept) * (len(kept) - 1) // 2
+        rows = cooccur.pair_surprise(df, 5, most).collect()
+        assert 0 < len(rows) < tests / 5
+        for r in rows:  # each q is at least the smallest of tail * tests / rank from there on
+            later = [o for o in rows if o["log10_p"] >= r["log10_p"]]
+            exact = min(min(10 ** o["log10_p"] * tests / sum(p["log10_p"] <= o["log10_p"] for p in rows) for o in later), 1)
+            assert exact * (1 - 1e-9) <= r["q"] <= exact * 10**0.0101
+
+
 VALUES = [f"{a} {b}" for a in ("blue", "red", "long", "short", "ivory", "mint") for b in ("hair", "eyes", "scarf", "gloves", "lantern")] + ["seated", "standing", ":|"]
 
 
