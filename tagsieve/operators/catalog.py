@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections import Counter, defaultdict
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +17,10 @@ from tagsieve.session import written
 COLUMNS = ["id", "name", "series", "tags", "image_url", "rank", "danbooru_tag", "source"]
 SEARCHED = ["name", "tags", "danbooru_tag"]
 PAGE_SIZE, LARGEST_PAGE, CARDS_A_PAGE = 30, 30, 24
+#: Terms of queries that are sent to the executors at once; more of them mean more passes over the catalog.
+BLOCK = 1_000_000
+#: Found pairs that a task holds before it hands them on.
+PAIRS = 200_000
 
 
 def with_default_source(catalog: DataFrame) -> DataFrame:
@@ -79,6 +86,94 @@ def search_batch(catalog: DataFrame, queries: DataFrame, most_terms: int = 1000)
     return pairs.groupBy("query", "n", "id").agg(F.count(F.lit(1)).alias("matched")).where(F.col("matched") == F.col("n")).select("query", "id")
 
 
+class Searches:
+    """Folded terms of many queries; finds the queries whose terms all stand in a row.
+
+    An automaton finds the terms of a row in one reading. A term with wildcards is found by its longest literal part and
+    then tested as a whole. Each query is looked up under its two terms that the fewest queries have.
+    """
+
+    def __init__(self, queries: list[list[str]]) -> None:
+        import ahocorasick  # here, so that the other operators work without it
+
+        shared = Counter(t for terms in queries for t in set(terms))
+        number = {t: k for k, t in enumerate(shared)}
+        self.automaton = ahocorasick.Automaton()
+        self.wild: dict[int, list[tuple[int, re.Pattern[str]]]] = defaultdict(list)
+        literal_number = {"": -1}
+        for term, k in number.items():
+            literals = re.split("[%_]+", term)
+            if len(literals) == 1:
+                literal_number[term] = k
+        for term, k in number.items():
+            literals = re.split("[%_]+", term)
+            if len(literals) > 1:
+                pattern = "".join({"%": ".*", "_": "."}.get(c) or re.escape(c) for c in term)
+                at = literal_number.setdefault(max(literals, key=len), len(number) + len(literal_number))
+                self.wild[at].append((k, re.compile(pattern, re.DOTALL)))
+        for literal, k in literal_number.items():
+            if literal:
+                self.automaton.add_word(literal, k)
+        if len(self.automaton):
+            self.automaton.make_automaton()
+        self.single: dict[int, list[int]] = defaultdict(list)
+        self.several: dict[int, dict[int, list[tuple[int, frozenset[int]]]]] = defaultdict(lambda: defaultdict(list))
+        for q, terms in enumerate(queries):
+            first, *rest = [number[t] for t in sorted(set(terms), key=lambda t: (shared[t], -len(t), t))]
+            if rest:
+                self.several[first][rest[0]].append((q, frozenset(rest[1:])))
+            else:
+                self.single[first].append(q)
+
+    def of(self, texts: Sequence[str | None]) -> list[int]:
+        texts = [t for t in texts if t is not None]
+        # Terms hold no white space, so none is found across the line ends.
+        held = {k for _, k in self.automaton.iter("\n".join(texts))} if len(self.automaton) else set()
+        if self.wild:
+            tests = [test for at in (held | {-1}) & self.wild.keys() for test in self.wild[at]]
+            held |= {k for k, pattern in tests if any(pattern.search(t) for t in texts)}
+        out = [q for k in held & self.single.keys() for q in self.single[k]]
+        for k in held & self.several.keys():
+            seconds = self.several[k]
+            for second in held & seconds.keys():
+                out += [q for q, rest in seconds[second] if rest <= held]
+        return out
+
+
+def search_all(catalog: DataFrame, queries: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(query, id) as in search_batch, for any number of queries: one pass over the catalog for every ``block`` of terms."""
+    terms = F.array_distinct(F.transform(search_terms_of("query"), fold)).alias("terms")
+    wanted = queries.select("query", terms).where(F.size("terms") > 0).distinct()
+    parts, rows, size = [], [], 0
+    for r in wanted.toLocalIterator():
+        rows.append((r["query"], r["terms"]))
+        size += len(r["terms"])
+        if size >= block:  # written, so that the executors hold one block at a time
+            parts.append(written(_search_block(catalog, rows)))
+            rows, size = [], 0
+    return reduce(DataFrame.unionByName, [*parts, _search_block(catalog, rows)] if rows or not parts else parts)
+
+
+def _search_block(catalog: DataFrame, queries: list[tuple[str, list[str]]]) -> DataFrame:
+    shared = catalog.sparkSession.sparkContext.broadcast(queries)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, searches = pa.array([q for q, _ in shared.value], pa.string()), Searches([t for _, t in shared.value])
+        for batch in batches:
+            ids, found, at = batch.column("id"), [], []
+            for k, texts in enumerate(zip(*[batch.column(c).to_pylist() for c in SEARCHED])):
+                here = searches.of(texts)
+                found += here
+                at += [k] * len(here)
+                if len(at) >= PAIRS:
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(found, pa.int32())), ids.take(pa.array(at, pa.int32()))], names=["query", "id"])
+                    found, at = [], []
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(found, pa.int32())), ids.take(pa.array(at, pa.int32()))], names=["query", "id"])
+
+    kind = catalog.schema["id"].dataType.simpleString()
+    return catalog.select("id", *[fold(c).alias(c) for c in SEARCHED]).mapInArrow(run, f"query string, id {kind}")
+
+
 def first_by_name(catalog: DataFrame, names: DataFrame) -> DataFrame:
     """For each wanted name (column wanted), the first row by id whose name is equal but for ASCII case."""
     wanted = names.select(F.col("wanted"), fold("wanted").alias("_key")).distinct()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tagsieve.functions import text as T
 from tagsieve.operators import cards, catalog, cleaning, dictionary, profile, resolve, state, taglist
 from tagsieve.plans.inputs import table
+from tagsieve.session import spread
 from tagsieve.sinks import writers
 from tagsieve.streaming import state as stream
 
@@ -81,6 +82,10 @@ def catalog_search_total(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.totals(catalog.search(cat(spark, sf), "mothmark hair", source="both"))
 
 
+def _typed(spark: SparkSession, sf: str) -> DataFrame:
+    return state.once(table(spark, sf, "actions")).where(F.col("act") == "search").select(T.strip("typed").alias("query")).where(F.col("query") != "")
+
+
 _TOP = f"(SELECT q AS query FROM (SELECT {sql_strip('typed')} AS q, count(*) AS n FROM {ONCE} WHERE act = 'search' GROUP BY 1) WHERE q <> '' ORDER BY n DESC, q LIMIT 20)"
 _ANY = " OR ".join(f"coalesce({sql_fold(c)} LIKE '%' || {sql_fold('term')} || '%', false)" for c in catalog.SEARCHED)
 
@@ -93,11 +98,17 @@ _ANY = " OR ".join(f"coalesce({sql_fold(c)} LIKE '%' || {sql_fold('term')} || '%
 )
 def catalog_search_batch(spark: SparkSession, sf: str) -> DataFrame:
     """The twenty most typed queries (a top-k report), each against the whole catalog."""
-    typed = state.once(table(spark, sf, "actions")).where(F.col("act") == "search").select(T.strip("typed").alias("query")).where(F.col("query") != "")
-    top = typed.groupBy("query").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "query").limit(20).select("query")
+    top = _typed(spark, sf).groupBy("query").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "query").limit(20).select("query")
     return catalog.search_batch(cat(spark, sf), top).groupBy("query").agg(F.count(F.lit(1)).alias("hits"), F.min("id").alias("first_id"))
 
 
+@query()
+def catalog_search_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Every typed query against the whole catalog; in SQL each row would be compared with each term."""
+    found = catalog.search_all(spread(cat(spark, sf)), _typed(spark, sf).distinct())
+    return found.groupBy("query").agg(F.count(F.lit(1)).alias("hits"), F.min("id").alias("first_id"))
+
+
 @query(f"SELECT id, name, series, tags FROM {CATALOG} WHERE danbooru_tag IS NULL OR danbooru_tag = '' ORDER BY id LIMIT 500")
 def catalog_pending(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.pending(cat(spark, sf))

@@ -57,6 +57,34 @@ def test_batch_agrees_with_single_searches(spark, rows):
         catalog.search_batch(rows, df, most_terms=1)
 
 
+def test_search_of_any_number_of_queries_agrees_with_single_searches(spark, rows, monkeypatch):
+    queries = ["blue hair", "BLUE", "x", "nier, off", "50%", "b_ue %r", "%", "__", "____________", "\\\\(n", "é", "É", "blue x", "x x X", "none", "", " , "]
+    df = spark.createDataFrame([(q,) for q in [*queries, "x", None]], "query string")
+    wanted = sorted((q, i) for q in queries if q.strip(" ,") for i in ids(catalog.search(rows, q)))
+    monkeypatch.setattr(catalog, "PAIRS", 3)
+    for block in (1, 4, 1000):
+        assert sorted(tuple(r) for r in catalog.search_all(rows, df, block).collect()) == wanted
+    assert catalog.search_all(rows, df.limit(0)).count() == 0
+
+
+def test_every_typed_search_is_run(spark, small):
+    """Brute force over all typed searches."""
+    from tagsieve.plans import queries
+
+    typed = {r["query"] for r in queries._typed(spark, small).collect()}
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    texts = [(r["id"], [r[c].translate(low) for c in catalog.SEARCHED if r[c] is not None]) for r in queries.cat(spark, small).collect()]
+    wanted = {}
+    for q in typed:
+        terms = [t.translate(low) for t in q.replace(",", " ").split()]
+        assert not any(c in q for c in "%_")
+        found = [i for i, held in texts if terms and all(any(t in x for x in held) for t in terms)]
+        if found:
+            wanted[q] = (len(found), min(found))
+    assert len(wanted) > 20
+    assert {r["query"]: (r["hits"], r["first_id"]) for r in queries.QUERIES["catalog_search_all"](spark, small).collect()} == wanted
+
+
 def test_changes(spark, rows):
     incoming = spark.createDataFrame([(10, "n", None, "t", None, 2, None, "c"), (11, "n", None, "t", None, 7, None, "c"), (12, "n", None, "t", None, 7, None, "c"), (13, "n", None, "t", None, None, None, "c"), (14, None, None, "t", None, 8, None, "c")], CATALOG)
     assert ids(catalog.insert_or_ignore(rows, incoming)) == [1, 2, 3, 4, 11, 13]
