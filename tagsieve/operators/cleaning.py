@@ -9,7 +9,7 @@ from tagsieve.functions.text import strip, title
 
 #: Last bracketed words that name a medium, not a series. Fixed values.
 MEDIA = ["game", "series", "anime", "manga", "utaite", "novel", "visual novel", "movie", "cosplay", "vtuber", "character"]
-SHORTEST_PREFIX, SHORTEST_KEPT, TRUSTED_POSTS, LONGEST_TAG = 3, 3, 500, 64
+SHORTEST_PREFIX, SHORTEST_KEPT, TRUSTED_POSTS = 3, 3, 500
 
 
 def clean_series(rows: DataFrame) -> DataFrame:
@@ -42,7 +42,7 @@ def clean_series(rows: DataFrame) -> DataFrame:
 def completions(dictionary: DataFrame) -> DataFrame:
     """(partial, completion) for every proper prefix of a trusted tag: a tag that goes on at a word end wins, then count, then tag."""
     tags = dictionary.select(F.lower(F.replace("tag", F.lit("_"), F.lit(" "))).alias("t"), "post_count").groupBy("t").agg(F.max("post_count").alias("n"))
-    trusted = tags.where((F.col("n") >= TRUSTED_POSTS) & F.length("t").between(SHORTEST_PREFIX + 1, LONGEST_TAG))
+    trusted = tags.where((F.col("n") >= TRUSTED_POSTS) & (F.length("t") > SHORTEST_PREFIX))
     each = trusted.select("t", "n", F.explode(F.sequence(F.lit(SHORTEST_PREFIX), F.length("t") - 1)).alias("k"))
     keyed = each.select(F.expr("substring(t, 1, k)").alias("partial"), F.struct(F.expr("substring(t, k + 1, 1)").isin(" ", "(", ")").cast("int").alias("edge"), F.col("n"), F.col("t")).alias("s"))
     return keyed.groupBy("partial").agg(F.max("s").getField("t").alias("completion"))

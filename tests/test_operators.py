@@ -85,6 +85,14 @@ def test_every_typed_search_is_run(spark, small):
     assert {r["query"]: (r["hits"], r["first_id"]) for r in queries.QUERIES["catalog_search_all"](spark, small).collect()} == wanted
 
 
+def test_cut_tags_are_completed_by_tags_of_any_length(spark):
+    long = "quiet_" + "w" * 70 + "_lantern"
+    words = spark.createDataFrame([(long, 900), ("blue_hair", 5000)], "tag string, post_count long")
+    rows = spark.createDataFrame([(1, "blue hair, quiet " + "w" * 40), (2, "blue ha")], "id long, tags string")
+    got = {r["id"]: (r["fixed"], r["action"]) for r in cleaning.repair_tags(rows, words).collect()}
+    assert got == {1: ("blue hair, " + long.replace("_", " "), "completed"), 2: ("blue hair", "completed")}
+
+
 def test_changes(spark, rows):
     incoming = spark.createDataFrame([(10, "n", None, "t", None, 2, None, "c"), (11, "n", None, "t", None, 7, None, "c"), (12, "n", None, "t", None, 7, None, "c"), (13, "n", None, "t", None, None, None, "c"), (14, None, None, "t", None, 8, None, "c")], CATALOG)
     assert ids(catalog.insert_or_ignore(rows, incoming)) == [1, 2, 3, 4, 11, 13]
