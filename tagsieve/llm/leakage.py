@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 #: Tokens of a shingle, of the shortest passage, and sketch hashes kept of a window, for words and for characters.
 SHINGLE, PASSAGE, KEPT = (5, 6), (12, 25), (6, 19)
-#: Tokens in front of which no edit is allowed: texts of the same manner share short runs with few differing words.
+#: Tokens in front of which no edit of a short passage is allowed: texts of the same manner share short runs with few differing words.
 FIRM = (4, 10)
 #: Longest gap between linked runs, in tokens.
 GAP = 8
@@ -96,8 +96,13 @@ def sketch(shingles: np.ndarray, kind: int) -> np.ndarray:
 
 
 def allowed_edits(span: int, kind: int) -> int:
-    """About one in ten; below 40 words (50 characters) one in ten of what goes beyond FIRM tokens."""
-    return (span + span // 20) // 10 if span >= (40, 50)[kind] else max(0, span - FIRM[kind]) // 10
+    """About one in ten. Words: none below FIRM + 10, one in ten up to 40. Characters: below 50 one in ten of what goes beyond
+    FIRM."""
+    if span >= (40, 50)[kind]:
+        return (span + span // 20) // 10
+    if kind == 0:
+        return span // 10 if span >= FIRM[0] + 10 else 0
+    return max(0, span - FIRM[kind]) // 10
 
 
 def least_run(kind: int) -> int:
@@ -116,6 +121,17 @@ def _runs(places: np.ndarray, others: np.ndarray, size: int) -> list[tuple[int,
     return list(zip(i[starts].tolist(), (i[ends] + size).tolist(), d[starts].tolist()))
 
 
+def _distance(one: list[int], other: list[int]) -> int:
+    """Tokens changed, dropped or added between two short gaps; a single equal token between two edits is none."""
+    last = list(range(len(other) + 1))
+    for i, x in enumerate(one, 1):
+        row = [i]
+        for j, y in enumerate(other, 1):
+            row.append(min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y)))
+        last = row
+    return last[-1]
+
+
 LEAST_RUN = (least_run(0), least_run(1))
 
 
@@ -123,7 +139,7 @@ def best_passage(item: np.ndarray, document: np.ndarray, places: np.ndarray, oth
     """(span, edits) in tokens of the longest chain whose edits are allowed.
 
     ``places`` and ``others`` are where shared shingles stand in item and document. Runs of equal tokens are linked where
-    both gaps are small; a gap costs the longer of its sides.
+    both gaps are small; a gap costs the edits between its sides.
     """
     if len(places) <= LEAST_RUN[kind] - SHINGLE[kind]:
         return 0, 0
@@ -169,6 +185,8 @@ def best_passage(item: np.ndarray, document: np.ndarray, places: np.ndarray, oth
                     continue
                 gap = max(a + lap - b2, a + d + lap - (b2 + d2))
                 if gap <= GAP:
+                    if gap >= 2 and lap == 0 and a > b2 and a + d > b2 + d2:
+                        gap = _distance(item[b2:a].tolist(), document[b2 + d2 : a + d].tolist())
                     mine.update((s, e + gap) for s, e in chains[q])
         fewest: dict[int, int] = {}
         for s, e in mine:

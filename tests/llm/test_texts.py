@@ -1,5 +1,6 @@
 """Token ids, leaks and sentences."""
 
+import itertools
 import random
 
 import pytest
@@ -114,6 +115,23 @@ def test_leaks_in_blocks_and_without_spaces(spark, monkeypatch):
     assert got == {(2, 0), (4, 2), (5, 3)}
 
 
+def test_two_edits_in_twenty_words_and_three_in_thirty(spark):
+    words = [f"{a}{b}" for a in ("kel", "mor", "tin", "sav", "rul", "pex") for b in ("an", "or", "it", "us", "em", "ax")]
+    items, docs = [], []
+    for n in (20, 21, 22, 23, 30, 33):
+        items.append((n, " ".join(words[:n])))
+        for at in itertools.combinations(range(5, n - 5), n // 10):
+            docs.append((len(docs), n, " ".join(["before", "it", *["changed" if k in at else w for k, w in enumerate(words[:n])], "and", "after"])))
+    probe = spark.createDataFrame(items, "item_id long, text string")
+    for n in (20, 21, 22, 23, 30, 33):
+        mine = [d for d in docs if d[1] == n]
+        df = spark.createDataFrame([(d[0], d[2]) for d in mine], "doc_id long, text string")
+        got = {r["doc_id"] for r in leakage.leaks(df, "doc_id", "text", probe.where(F.col("item_id") == n)).collect()}
+        assert got == {d[0] for d in mine}
+    less = spark.createDataFrame([(1, " ".join(words[:6] + ["changed"] + words[7:13]))], "doc_id long, text string")
+    assert leakage.leaks(less, "doc_id", "text", probe).count() == 0
+
+
 def test_leaks_in_repetitive_texts(spark):
     items = [(1, "la " * 60), (2, " ".join(WORDS[:60]))]
     docs = [(0, "la " * 3000 + " ".join(WORDS[10:40]) + " la" * 3000), (1, "la " * 11), (2, " ".join(WORDS[:5]) * 300)]
