@@ -4,7 +4,8 @@ A multi-pattern automaton over the canonical names, their forms without the brac
 mentions in a value; the longest non-overlapping mention wins if what is left over says nothing else: decoration, or the
 name of a series. Values without one go to token-set similarity: their words in any order, with and without blanks
 between them, are compared with all names by edits (insertion, deletion, exchange, swap of neighbours), through an
-index of removals that a value with few edits must share with the name. A name that exists in several series is decided by
+index of removals that a value with few edits must share with the name. Values of more than three words in another order
+are compared word for word, through an index of the names' words. A name that exists in several series is decided by
 the record's own series, then by the series in the value, then by frequency.
 
 The canonical list is a dictionary of fixed size; its bound is checked before it is sent to the executors.
@@ -16,7 +17,7 @@ import itertools
 import re
 import unicodedata
 import uuid
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,8 @@ MOST_ENTRIES = 2_000_000
 EDITS = ((8, 2), (5, 1))
 #: Characters of a text that enter the index of removals.
 PREFIX = 12
+#: Values of up to this many words are tried in all orders; longer ones are compared as sets of words.
+ORDERED = 3
 #: Words around a name that say nothing about it.
 DECORATION = frozenset(
     "the a an of from as in by and official art fan fanart cosplay original character commission oc alt alternate version ver anime game series manga novel"
@@ -119,6 +122,12 @@ class Names:
                 hashes.append(h)
                 owners.append(k)
         order = np.argsort(np.array(hashes, dtype=np.int64), kind="stable")
+        # Longer forms by their words, for values with the words in another order.
+        self.long = [key for key in sorted(self.forms) if len(key) > ORDERED]
+        self.with_word: dict[str, list[int]] = defaultdict(list)
+        for k, key in enumerate(self.long):
+            for w in set(key):
+                self.with_word[w].append(k)
         self.hashes, self.owners = np.array(hashes, dtype=np.int64)[order], np.array(owners, dtype=np.int32)[order]
 
     def mentions(self, tokens: list[str]) -> list[tuple[int, int, tuple[str, ...]]]:
@@ -143,9 +152,9 @@ class Names:
 
     def similar(self, tokens: list[str]) -> list[tuple[int, tuple[str, ...]]]:
         """(edits, form) of the nearest forms by token-set similarity; all ties."""
-        if not tokens or len(tokens) > 12:
+        if not tokens:
             return []
-        if len(tokens) <= 3:
+        if len(tokens) <= ORDERED:
             orders = {"".join(p) for p in itertools.permutations(tokens)}
         else:
             orders = {"".join(tokens), "".join(sorted(tokens)), "".join(tokens[1:] + tokens[:1]), "".join(tokens[-1:] + tokens[:-1])}
@@ -161,8 +170,33 @@ class Names:
                     if d < best:
                         best, out = d, []
                     out += [(d, key) for key in sorted(self.joined[other])]
+        for d, key in self._reordered(tokens, best) if len(tokens) > ORDERED else ():
+            if d < best:
+                best, out = d, []
+            if d == best:
+                out.append((d, key))
         return sorted(set(out))
 
+    def _reordered(self, tokens: list[str], most: int) -> Iterator[tuple[int, tuple[str, ...]]]:
+        """(edits, form) of forms with as many words, in any order, within the edits that the length allows.
+
+        With at most two edits all but two words are equal, so the forms are found by the words they share; the words that
+        are left are paired in the cheapest way.
+        """
+        mine, n = Counter(tokens), sum(map(len, tokens))
+        shared = Counter(k for w in mine for k in self.with_word.get(w, ()))
+        for k, held in shared.items():
+            key = self.long[k]
+            allowed = min(most, most_edits(min(n, sum(map(len, key)))))
+            if len(key) != len(tokens) or held < len(mine) - allowed:
+                continue
+            theirs = Counter(key)
+            left, right = list((mine - theirs).elements()), list((theirs - mine).elements())
+            if len(left) <= allowed:
+                d = min(sum(edits(a, b, allowed) for a, b in zip(left, p)) for p in itertools.permutations(right))
+                if d <= allowed:
+                    yield d, key
+
 
 class Matcher:
     """Maps names and series; knows which series a name belongs to."""

@@ -56,6 +56,23 @@ def test_names(matcher, value, series, wanted):
     assert matcher.resolve("name", value, series) == wanted
 
 
+def test_long_titles_in_another_order():
+    many = "a tale of nine paper ships that crossed one frozen river before dawn came"
+    titles = ["the_last_garden_beneath_winter_glass", "the_last_garden_beneath_summer_glass", many.replace(" ", "_")]
+    matcher = canonical.Matcher([(t, 3, t, 5) for t in titles])
+    rng = random.Random(1)
+    for title in titles:
+        for _ in range(30):
+            parts = title.split("_")
+            rng.shuffle(parts)
+            assert matcher.resolve("series", " ".join(parts), None) == title
+            at = max(range(len(parts)), key=lambda k: len(parts[k]))
+            parts[at] = parts[at][:2] + parts[at][3:]
+            assert matcher.resolve("series", " ".join(parts), None) == title
+    assert matcher.resolve("series", "glass winter beneath garden last another", None) == ""
+    assert matcher.resolve("series", "winter glass winter garden last the", None) == ""
+
+
 @pytest.mark.parametrize("value,wanted", [("Star Rail - After Rain", "star_rail:_after_rain"), ("moon-circus", "moon_circus"), ("mooncircus", "moon_circus"), ("the moon circus ii", "moon_circus_ii"), ("moon circsu", "moon_circus"), ("SRAR", "star_rail:_after_rain"), ("n/a", ""), ("moon", "")])
 def test_series(matcher, value, wanted):
     assert matcher.resolve("series", value, None) == wanted
