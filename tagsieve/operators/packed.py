@@ -170,10 +170,12 @@ def _pieces(text: Column, kind: str, known: str | None) -> Column:
     else:
         marks = "".join(java_quote(SINGLE[k]) for k in (MIXING if kind == "mixed" else (kind,)))
         sep, inner = rf"(?<!_)[{marks}](?!_)", _inner(marks)
-    start, end = rf"(?<=(?:^|[{marks}])[{_BLANK}]{{0,9}})", rf"(?=[{_BLANK}]*(?:{sep}|$))"
-    quoted = rf"""(?=["'“]){start}(?:{_QUOTED}{end}|{_OPEN})"""
-    listed = f"|{start}{known}{end}" if known else ""
-    return F.regexp_extract_all(text, F.lit(f"{quoted}{listed}|{inner}"), F.lit(0))
+    # Any number of blanks behind a separator is read over, as a lookbehind is bounded. The first group is set there, the second is the piece.
+    start, end = rf"(?:^|(?<=[{marks}]))[{_BLANK}]*+", rf"(?=[{_BLANK}]*(?:{sep}|$))"
+    quoted = rf"""(?=["'“])(?:{_QUOTED}{end}|{_OPEN})"""
+    listed = f"|{known}{end}" if known else ""
+    whole = f"{quoted}{listed}"
+    return F.regexp_extract_all(text, F.lit(rf"(?:{start}(?={whole})())?+(\1(?:{whole})|{inner})"), F.lit(2))
 
 
 def _unquoted(v: Column) -> Column:

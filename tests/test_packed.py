@@ -113,3 +113,14 @@ def test_shapes_are_learnt_from_many_alike():
 
     assert regex.fullmatch(pattern.replace("(?iu:", "(?i:"), "bone fan, waving other")
     assert not regex.fullmatch(pattern.replace("(?iu:", "(?i:"), "bone fan, other name")
+
+
+def test_values_behind_many_blanks(spark):
+    known = known_pattern(["red, blue"])
+    for n in (1, 9, 10, 40):
+        gap = " " * n
+        rows = [(1, f'a,{gap}"b, c",{gap}d, e'), (2, f"a,{gap}red, blue,{gap}d, e"), (3, f"a; x;{gap}'b; c'; d")]
+        df = spark.createDataFrame(rows, "id long, text string")
+        got = {r["id"]: r["vals"] for r in with_packed_values(df, "text", "vals", known).collect()}
+        assert got == {1: ["a", "b, c", "d", "e"], 2: ["a", "red, blue", "d", "e"], 3: ["a", "x", "b; c", "d"]}
+    assert split(spark, ["smile;) ; b; c"]) == split(spark, ["smile; ) ; b; c"])
