@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagsieve.operators.packed import either, explode_packed, known_pattern, known_values, shaped_pattern
-
+from tagsieve.functions.text import source_key
+from tagsieve.operators.packed import either, explode_packed, known_pattern, known_values, shaped_pattern, with_packed_values
 from tagsieve.session import spread
 
 
@@ -25,10 +25,16 @@ def known_in_dictionary(spark: SparkSession, sf_dir: str) -> str | None:
     return known_pattern(_known(spark, sf_dir))
 
 
+def tag_lists(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The named columns of characters, tags and ``vals``, the values of tags."""
+    rows = spread(table(spark, sf_dir, "characters").select(*columns, "tags", source_key("source").alias("_from")))
+    return with_packed_values(rows, "tags", "vals", known_in_dictionary(spark, sf_dir), source_col="_from").drop("_from")
+
+
 def tag_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(rec_id, pos, val) of characters.tags."""
-    rows = spread(table(spark, sf_dir, "characters").select("id", "tags"))
-    return explode_packed(rows, "id", "tags", known_in_dictionary(spark, sf_dir))
+    rows = spread(table(spark, sf_dir, "characters").select("id", "tags", source_key("source").alias("_source")))
+    return explode_packed(rows, "id", "tags", known_in_dictionary(spark, sf_dir), "_source")
 
 
 def alias_values(spark: SparkSession, sf_dir: str) -> DataFrame:

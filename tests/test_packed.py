@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tagsieve.operators.packed import delimiter_profile, either, explode_packed, known_pattern, shaped_pattern, with_packed_values
+from tagsieve.operators.packed import delimiter_profile, either, explode_packed, known_pattern, shaped_pattern, source_scores, with_packed_values
 
 KNOWN = known_pattern(["hush;_listen", "bread,_butter", "|_|", ";)", ":|", "sun|moon_motif", "plain_tag"])
 
@@ -124,3 +124,27 @@ def test_values_behind_many_blanks(spark):
         got = {r["id"]: r["vals"] for r in with_packed_values(df, "text", "vals", known).collect()}
         assert got == {1: ["a", "b, c", "d", "e"], 2: ["a", "red, blue", "d", "e"], 3: ["a", "x", "b; c", "d"]}
     assert split(spark, ["smile;) ; b; c"]) == split(spark, ["smile; ) ; b; c"])
+
+
+def test_marks_used_equally_often_are_told_apart_by_the_source(spark):
+    rows = [(k, "a", f"甲{k}; 乙{k}; 丙") for k in range(20)] + [(100 + k, "b", f"甲{k}、乙{k}、丙") for k in range(20)]
+    rows += [(200, "a", "甲、乙;丙"), (201, "b", "甲、乙;丙"), (202, None, "甲、乙;丙")]
+    df = spark.createDataFrame(rows, "id long, source string, text string")
+    got = {r["id"]: r["vals"] for r in with_packed_values(df, "text", "vals", KNOWN, source_col="source").collect()}
+    assert got[200] == ["甲、乙", "丙"] and got[201] == ["甲", "乙;丙"] and len(got[202]) == 2
+    assert got[0] == ["甲0", "乙0", "丙"] and got[100] == ["甲0", "乙0", "丙"] and len(got) == len(rows)
+    scores = {r["_scored"]: r for r in source_scores(df, "source", "text").collect()}
+    assert scores["a"]["_s_semicolon"] > scores["a"]["_s_ideographic"] and scores["b"]["_s_ideographic"] > scores["b"]["_s_semicolon"]
+
+
+def test_stand_ins_in_the_data_stay(spark):
+    assert split(spark, ["a\x01b, c", "a\x02b / c\x01 / \x02a", "x\x02, \"y\x01, z\""]) == [["a\x01b", "c"], ["a\x02b", "c\x01", "\x02a"], ["x\x02", "y\x01, z"]]
+
+
+def test_hints_miss_no_known_value(spark):
+    """Every known value is found wherever it stands, written with blanks or underscores and in any case."""
+    values = ["hush;_listen", "bread,_butter", "|_|", ";)", ":|", "sun|moon_motif", "\\m/", "one,_two,_three", "|d"]
+    known = known_pattern(values)
+    texts = [t for v in values for w in (v, v.replace("_", " "), v.upper()) for t in (f"{w}, x y, z", f"x y, {w}, z", f"x y\t{w}", f"x y、{w}")]
+    for vals, v in zip(split(spark, texts, known), [v for v in values for _ in range(12)]):
+        assert v.lower().replace("_", " ") in [x.lower().replace("_", " ") for x in vals]
