@@ -116,8 +116,8 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of every document."""
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return sentences.split_sentences(spread(documents), "doc_id", "text")
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return sentences.split_sentences(spread(documents), "doc_id", "text", "lang")
 
 
 QUERIES = {

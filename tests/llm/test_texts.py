@@ -195,3 +195,49 @@ def test_sentence_frame(spark):
     got = sorted(tuple(r) for r in sentences.split_sentences(df, "doc_id", "text").collect())
     assert got == [(1, 0, 4), (1, 0, 4), (1, 5, 9), (1, 5, 9), (5, 0, 200_004), (5, 205_000 - 4995, 200_010)]
     assert sentences.split_sentences(df.limit(0), "doc_id", "text").count() == 0
+
+
+@pytest.mark.parametrize("text", ["He gave it to me. Then he left.", "She is my ex. They met in May.", "It was the last rep. He stopped.", "They got a new col. It was steep.", "There is no cap. The jar was open."])
+def test_words_of_one_language_are_no_abbreviations_of_another(text):
+    first, rest = text.split(". ")
+    assert [text[a:b] for a, b in sentences.sentence_spans(text, "en")] == [first + ".", rest]
+
+
+@pytest.mark.parametrize(
+    "text, lang",
+    [
+        ("Then Col. Reed spoke to the crowd.", "en"),
+        ("La Sra. Morhai guardó la llave unos 28 días.", None),
+        ("O Sr. Tabri guardou espelho por 12 dias.", "pt-XX"),
+        ("Am 20. Mai wurde der Tag umbenannt.", None),
+        ("Dr. Jinlo zeichnete ca. 16667 Blätter für die Reihe.", "DE"),
+        ("Всего найдено ок. 70021 изображений, т. е. больше, чем в 76 г. до этого.", "und"),
+    ],
+)
+def test_abbreviations_of_the_language_of_the_passage(text, lang):
+    assert sentences.sentence_spans(text, lang) == [(0, len(text))]
+
+
+def test_wrongly_stated_languages_change_nothing_where_the_text_tells():
+    text = "He gave it to me. Then he left. The keeper of the gate is on page 20. Nobody saw it."
+    assert len({tuple(sentences.sentence_spans(text, lang)) for lang in (None, "en", "fr", "de", "zh", "", "und", "nonsense-XX")}) == 1
+
+
+def test_quotations_in_texts_without_capitals():
+    text = 'his reply was short: "no." in the second arc the gate fell. "stop it." is written on the door. "go." is it far? he left.'
+    got = [text[a:b] for a, b in sentences.sentence_spans(text)]
+    assert got == ['his reply was short: "no."', "in the second arc the gate fell.", '"stop it." is written on the door.', '"go."', "is it far?", "he left."]
+
+
+def test_long_lines_take_linear_time():
+    import time
+
+    def seconds(text):
+        began = time.process_time()
+        assert sentences.sentence_spans(text)
+        return time.process_time() - began
+
+    for piece in ('He said "go on" to Mr. Smith at 5 p.m. and left. ', "word x.y ", "a_b, ", "(“「", "A.", "no stop here "):
+        small, large = piece * (40_000 // len(piece)), piece * (640_000 // len(piece))
+        seconds(small)
+        assert seconds(large) < 16 * 4 * max(0.02, seconds(small)), piece
