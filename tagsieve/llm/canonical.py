@@ -3,10 +3,11 @@
 A multi-pattern automaton over the canonical names, their forms without the bracketed series and their aliases finds
 mentions in a value; the longest non-overlapping mention wins if what is left over says nothing else: decoration, or the
 name of a series. Values without one go to token-set similarity: their words in any order, with and without blanks
-between them, are compared with all names by edits (insertion, deletion, exchange, swap of neighbours), through an
-index of removals that a value with few edits must share with the name. Values of more than three words in another order
-are compared word for word, through an index of the names' words. A name that exists in several series is decided by
-the record's own series, then by the series in the value, then by frequency.
+between them, are compared with all names: as token sets, through an index of the names' words of which the rarest of a
+value are looked up, and as joined texts, through an index of removals that a value with few edits must share with the
+name. Edits (insertion, deletion, exchange, swap of neighbours) count inside words; one word in five may be missing or
+added. A name that exists in several series is decided by the record's own series, then by the series in the value,
+then by frequency.
 
 The canonical list is a dictionary of fixed size; its bound is checked before it is sent to the executors.
 """
@@ -31,8 +32,8 @@ MOST_ENTRIES = 2_000_000
 EDITS = ((8, 2), (5, 1))
 #: Characters of a text that enter the index of removals.
 PREFIX = 12
-#: Values of up to this many words are tried in all orders; longer ones are compared as sets of words.
-ORDERED = 3
+#: Words in common, over all words of both sides, of token sets that are alike; an unpaired word counts as so many edits.
+SHARED, UNPAIRED = 0.8, 3
 #: Words around a name that say nothing about it.
 DECORATION = frozenset(
     "the a an of from as in by and official art fan fanart cosplay original character commission oc alt alternate version ver anime game series manga novel"
@@ -63,6 +64,16 @@ def edits(a: str, b: str, most: int) -> int:
     """Optimal string alignment distance, or ``most`` + 1 if it is larger."""
     if abs(len(a) - len(b)) > most:
         return most + 1
+    # Equal ends cost nothing.
+    n, k = min(len(a), len(b)), 0
+    while k < n and a[k] == b[k]:
+        k += 1
+    end = 0
+    while end < n - k and a[-1 - end] == b[-1 - end]:
+        end += 1
+    a, b = a[k : len(a) - end], b[k : len(b) - end]
+    if not a or not b:
+        return len(a) + len(b)
     before, last = [], list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         row = [i]
@@ -81,18 +92,15 @@ def most_edits(n: int) -> int:
     return next((e for least, e in EDITS if n >= least), 0)
 
 
-def _deletions(text: str) -> set[int]:
-    """Hashes of the first PREFIX characters with up to two of them removed; valid within one process.
+def _deletions(text: str, most: int = 2) -> list[int]:
+    """Hashes of the first PREFIX characters with up to ``most`` (one or two) of them removed; valid within one process.
 
-    Two texts within two edits have one of these in common.
+    Two texts within so many edits have one of these in common.
     """
     head = text[:PREFIX]
-    out = {hash(head)}
-    for i in range(len(head)):
-        one = head[:i] + head[i + 1 :]
-        out.add(hash(one))
-        out.update(hash(one[:j] + one[j + 1 :]) for j in range(i, len(one)))
-    return out
+    once = {head[:i] + head[i + 1 :] for i in range(len(head))}
+    twice = {one[:j] + one[j + 1 :] for one in once for j in range(len(one))} if most > 1 else set()
+    return list(map(hash, {head} | once | twice))
 
 
 class Names:
@@ -122,13 +130,15 @@ class Names:
                 hashes.append(h)
                 owners.append(k)
         order = np.argsort(np.array(hashes, dtype=np.int64), kind="stable")
-        # Longer forms by their words, for values with the words in another order.
-        self.long = [key for key in sorted(self.forms) if len(key) > ORDERED]
+        # Two words have two orders, which the joined texts cover; token sets are of three words or more.
+        self.sets = [key for key in sorted(self.forms) if len(key) > 2]
         self.with_word: dict[str, list[int]] = defaultdict(list)
-        for k, key in enumerate(self.long):
+        for k, key in enumerate(self.sets):
             for w in set(key):
                 self.with_word[w].append(k)
-        self.hashes, self.owners = np.array(hashes, dtype=np.int64)[order], np.array(owners, dtype=np.int32)[order]
+        self.hashes, self.starts = np.unique(np.array(hashes, dtype=np.int64)[order], return_index=True)
+        self.owners = np.array(owners, dtype=np.int32)[order]
+        self.starts = np.append(self.starts, len(self.owners))
 
     def mentions(self, tokens: list[str]) -> list[tuple[int, int, tuple[str, ...]]]:
         """Longest non-overlapping mentions (first word, end word, form), longest first."""
@@ -154,48 +164,54 @@ class Names:
         """(edits, form) of the nearest forms by token-set similarity; all ties."""
         if not tokens:
             return []
-        if len(tokens) <= ORDERED:
-            orders = {"".join(p) for p in itertools.permutations(tokens)}
-        else:
-            orders = {"".join(tokens), "".join(sorted(tokens)), "".join(tokens[1:] + tokens[:1]), "".join(tokens[-1:] + tokens[:-1])}
+        orders = {"".join(tokens), "".join(sorted(tokens)), "".join(tokens[1:] + tokens[:1]), "".join(tokens[-1:] + tokens[:-1])}
         best, out = 99, []
         for text in sorted(orders):
             n = len(text)
-            wanted = np.array(sorted(_deletions(text)), dtype=np.int64)
-            low, high = np.searchsorted(self.hashes, wanted), np.searchsorted(self.hashes, wanted, side="right")
-            candidates = {self.texts[k] for a, b in zip(low[high > low], high[high > low]) for k in self.owners[a:b].tolist()}
+            wanted = np.array(_deletions(text, max(1, most_edits(n))), dtype=np.int64)
+            at = np.searchsorted(self.hashes, wanted)
+            at[at == len(self.hashes)] = 0
+            met = at[self.hashes[at] == wanted].tolist() if len(self.hashes) else ()
+            candidates = {self.texts[k] for p in met for k in self.owners[self.starts[p] : self.starts[p + 1]].tolist()}
             for other in candidates:
                 d = edits(text, other, min(best, most_edits(min(n, len(other)))))
                 if d <= min(best, most_edits(min(n, len(other)))):
                     if d < best:
                         best, out = d, []
                     out += [(d, key) for key in sorted(self.joined[other])]
-        for d, key in self._reordered(tokens, best) if len(tokens) > ORDERED else ():
+        for d, key in self._alike(tokens, best):
             if d < best:
                 best, out = d, []
             if d == best:
                 out.append((d, key))
         return sorted(set(out))
 
-    def _reordered(self, tokens: list[str], most: int) -> Iterator[tuple[int, tuple[str, ...]]]:
-        """(edits, form) of forms with as many words, in any order, within the edits that the length allows.
+    def _alike(self, tokens: list[str], most: int) -> Iterator[tuple[int, tuple[str, ...]]]:
+        """(edits, form) of forms with the same set of words, but for the edits that the length allows and unpaired words.
 
-        With at most two edits all but two words are equal, so the forms are found by the words they share; the words that
-        are left are paired in the cheapest way.
+        All but ``changed`` words of the value stand in such a form as they are, so every form has one of any
+        ``changed`` + 1 words of the value: the rarest ones are looked up. What is left of both sides is paired in the
+        cheapest way.
         """
+        if len(tokens) < 3:
+            return
         mine, n = Counter(tokens), sum(map(len, tokens))
-        shared = Counter(k for w in mine for k in self.with_word.get(w, ()))
-        for k, held in shared.items():
-            key = self.long[k]
-            allowed = min(most, most_edits(min(n, sum(map(len, key)))))
-            if len(key) != len(tokens) or held < len(mine) - allowed:
+        changed = most_edits(n) + int(len(tokens) * (1 - SHARED) / SHARED)
+        rarest = sorted(mine, key=lambda w: (len(self.with_word.get(w, ())), w))[: changed + 1]
+        for k in sorted({k for w in rarest for k in self.with_word.get(w, ())}):
+            key = self.sets[k]
+            longer = max(len(tokens), len(key))
+            if abs(len(key) - len(tokens)) > (1 - SHARED) * longer + 1e-9 or longer - len(mine.keys() & set(key)) > longer - len(mine) + changed:
                 continue
             theirs = Counter(key)
-            left, right = list((mine - theirs).elements()), list((theirs - mine).elements())
-            if len(left) <= allowed:
-                d = min(sum(edits(a, b, allowed) for a, b in zip(left, p)) for p in itertools.permutations(right))
-                if d <= allowed:
-                    yield d, key
+            fewer, more = sorted((list((mine - theirs).elements()), list((theirs - mine).elements())), key=len)
+            unpaired = len(more) - len(fewer)
+            allowed = min(most - UNPAIRED * unpaired, most_edits(min(n, sum(map(len, key)))))
+            if len(fewer) > allowed:
+                continue
+            d = min(sum(edits(a, b, allowed) for a, b in zip(fewer, p)) for p in itertools.permutations(more, len(fewer)))
+            if d <= allowed:
+                yield d + UNPAIRED * unpaired, key
 
 
 class Matcher:
@@ -230,7 +246,7 @@ class Matcher:
             if all(t in DECORATION for t in tokens[:a] + tokens[b:]):
                 return self._frequent(self.series.forms[key])
         kept = [t for t in tokens if t not in DECORATION] or tokens
-        for candidate in (kept, tokens):
+        for candidate in (kept, tokens) if kept != tokens else (kept,):
             found = self.series.similar(candidate)
             if found:
                 return self._frequent({t: c for _, key in found for t, c in self.series.forms[key].items()})
@@ -275,10 +291,10 @@ class Matcher:
             if not free or self._is_series(free):
                 return self._choose(self.names.forms[key], row_series, own_series or self.series_of(" ".join(free)))
         kept = [t for t in name_words if t not in DECORATION] or name_words
-        tries = [kept, name_words, [t for t in tokens if t not in DECORATION]]
+        tries = dict.fromkeys(map(tuple, (kept, name_words, [t for t in tokens if t not in DECORATION])))
         found: list[tuple[int, tuple[str, ...]]] = []
         for attempt in tries:
-            near = self.names.similar(attempt)
+            near = self.names.similar(list(attempt))
             if near and (not found or near[0][0] < found[0][0]):
                 found = near
         # The name may be followed by its series without any mark between.
@@ -310,7 +326,8 @@ def canonical_entries(tags: DataFrame, aliases: DataFrame, redirects: DataFrame)
     """(tag, category, form, frequency) of the categories 3 and 4.
 
     ``tags``: tag, category, post_count, line_no; ``aliases``: tag, alias; ``redirects``: antecedent_name,
-    consequent_name, followed through chains to a listed tag and dropped where they end elsewhere or in a circle.
+    consequent_name, followed through chains to a listed tag and dropped where they end elsewhere or in a circle. Of
+    several targets of one name the first by its letters is taken, of several tags of one alias the most frequent.
     """
     listed = tags.where(F.col("tag").isNotNull()).groupBy("tag").agg(F.max_by("category", F.coalesce("post_count", F.lit(-1))).alias("category"), F.max(F.coalesce("post_count", F.lit(0))).alias("count"))
     rows = listed.limit(MOST_ENTRIES + 1).collect()
@@ -321,8 +338,12 @@ def canonical_entries(tags: DataFrame, aliases: DataFrame, redirects: DataFrame)
     kind = {r["tag"]: (r["category"], r["count"]) for r in rows}
     out = [(tag, c, tag, n) for tag, (c, n) in kind.items()]
     out += [(r["tag"], *_form(kind[r["tag"]], r["alias"])) for r in names if r["tag"] in kind and r["alias"]]
-    to = {r["antecedent_name"]: r["consequent_name"] for r in moved if r["antecedent_name"] and r["consequent_name"]}
-    by_alias = {r["alias"].replace(" ", "_"): r["tag"] for r in names if r["alias"]}
+    to: dict[str, str] = {}
+    for source, target in sorted(((r["antecedent_name"], r["consequent_name"]) for r in moved if r["antecedent_name"] and r["consequent_name"]), reverse=True):
+        to[source] = target
+    by_alias: dict[str, str] = {}
+    for tag, alias in sorted(((r["tag"], r["alias"]) for r in names if r["alias"] and r["tag"] in kind), key=lambda x: (kind[x[0]][1], x), reverse=True):
+        by_alias.setdefault(alias.replace(" ", "_"), tag)
     for start in to:
         at, seen = start, set()
         while at not in kind and at not in seen:
@@ -348,8 +369,9 @@ def _matcher(token: str, entries: list[tuple[str, int, str, int]]) -> Matcher:
     return _MATCHERS[token]
 
 
-def map_values(df: DataFrame, id_col: str, fields: list[str], series_col: str, entries: list[tuple[str, int, str, int]]) -> DataFrame:
-    """(id, field, tag) for each non-NULL, non-blank value of ``fields``; tag is '' where the list holds none.
+def map_values(df: DataFrame, id_col: str, fields: list[str], series_col: str, entries: list[tuple[str, int, str, int]], with_value: bool = False) -> DataFrame:
+    """(id, field, tag) for each non-NULL, non-blank value of ``fields``; tag is '' where the list holds none. A further
+    column ``value`` has the value as typed, if wanted.
 
     The field named ``series_col`` maps to series, the others to characters of that series. Repeated rows give repeated
     results; an empty list gives '' everywhere. Extra columns are not carried.
@@ -362,16 +384,18 @@ def map_values(df: DataFrame, id_col: str, fields: list[str], series_col: str, e
         matcher = _matcher(token, shared.value)
         for batch in batches:
             series = batch.column("_series").to_pylist()
-            rows, names, tags = [], [], []
+            rows, names, tags, typed = [], [], [], []
             for k, field in enumerate(fields):
                 for row, (value, own) in enumerate(zip(batch.column(f"_v{k}").to_pylist(), series)):
                     if value is not None and value.strip():
                         rows.append(row)
                         names.append(field)
                         tags.append(matcher.resolve("series" if field == series_col else "name", value, own))
-            yield pa.RecordBatch.from_arrays([batch.column("_id").take(pa.array(rows, pa.int32())), pa.array(names, pa.string()), pa.array(tags, pa.string())], names=["_id", "field", "tag"])
+                        typed.append(value)
+            out = {"_id": batch.column("_id").take(pa.array(rows, pa.int32())), "field": pa.array(names, pa.string()), "tag": pa.array(tags, pa.string())}
+            yield pa.RecordBatch.from_pydict(out | ({"value": pa.array(typed, pa.string())} if with_value else {}))
 
     kind = df.schema[id_col].dataType.simpleString()
     values = [F.col(f"`{f}`").alias(f"_v{k}") for k, f in enumerate(fields)]
     ready = df.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{series_col}`").alias("_series"), *values)
-    return ready.mapInArrow(run, f"_id {kind}, field string, tag string").withColumnRenamed("_id", id_col)
+    return ready.mapInArrow(run, f"_id {kind}, field string, tag string" + ", value string" * with_value).withColumnRenamed("_id", id_col)

@@ -18,17 +18,21 @@ def _tag_lists(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return written(with_packed_values(wanted, "tags", "vals", known_in_dictionary(spark, sf_dir)))
 
 
-def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The dictionary tag of every name, series and danbooru_tag."""
+def _mapped(spark: SparkSession, sf_dir: str, with_value: bool = False) -> DataFrame:
     tags = table(spark, sf_dir, "danbooru_tags").select("tag", "category", "post_count", "line_no")
     entries = canonical.canonical_entries(tags, aliases_of_tags(spark, sf_dir), table(spark, sf_dir, "tag_aliases"))
     rows = spread(table(spark, sf_dir, "characters").select("id", "name", "series", "danbooru_tag"))
-    return canonical.map_values(rows, "id", ["name", "series", "danbooru_tag"], "series", entries)
+    return canonical.map_values(rows, "id", ["name", "series", "danbooru_tag"], "series", entries, with_value)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dictionary tag of every name, series and danbooru_tag."""
+    return _mapped(spark, sf_dir)
 
 
 def p1_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Values that the dictionary does not hold, with the number of rows of each field."""
-    return p1_found(spark, sf_dir).groupBy("field").agg(F.sum((F.col("tag") == "").cast("long")).alias("unmatched"), F.count(F.lit(1)).alias("rows"))
+    """Every value that the dictionary does not hold, with its field and the number of rows that have it."""
+    return _mapped(spark, sf_dir, True).where(F.col("tag") == "").groupBy("field", "value").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def _cut_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

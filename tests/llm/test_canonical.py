@@ -69,7 +69,12 @@ def test_long_titles_in_another_order():
             at = max(range(len(parts)), key=lambda k: len(parts[k]))
             parts[at] = parts[at][:2] + parts[at][3:]
             assert matcher.resolve("series", " ".join(parts), None) == title
-    assert matcher.resolve("series", "glass winter beneath garden last another", None) == ""
+            added = [*title.split("_"), "another"]
+            rng.shuffle(added)
+            assert matcher.resolve("series", " ".join(added), None) == title
+            rng.shuffle(missing := title.split("_")[:-1])
+            assert matcher.resolve("series", " ".join(missing), None) == title
+    assert matcher.resolve("series", "glass winter beneath garden two others", None) == ""
     assert matcher.resolve("series", "winter glass winter garden last the", None) == ""
 
 
@@ -78,6 +83,44 @@ def test_series(matcher, value, wanted):
     assert matcher.resolve("series", value, None) == wanted
 
 
+def test_one_word_more_is_too_much_for_short_names(matcher):
+    assert matcher.resolve("name", "velka rosmarin ostrava", None) == "" and matcher.resolve("name", "brindamora ostrava", None) == ""
+
+
+def test_token_sets_equal_brute_force():
+    rng = random.Random(7)
+    stock = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))) for _ in range(40)]
+    forms = sorted({tuple(rng.sample(stock, rng.randint(3, 9))) for _ in range(200)})
+    index = canonical.Names([(" ".join(f), " ".join(f), "", 1) for f in forms])
+
+    def alike(a, b):
+        """(edits) between two token sets by trying all pairings of what they do not share, or None."""
+        from collections import Counter
+        from itertools import permutations
+
+        mine, theirs = Counter(a), Counter(b)
+        fewer, more = sorted((list((mine - theirs).elements()), list((theirs - mine).elements())), key=len)
+        unpaired, allowed = len(more) - len(fewer), canonical.most_edits(min(sum(map(len, a)), sum(map(len, b))))
+        if unpaired > 0.2 * max(len(a), len(b)) + 1e-9 or len(fewer) > allowed:
+            return None
+        d = min(sum(canonical.edits(x, y, 9) for x, y in zip(fewer, p)) for p in permutations(more, len(fewer)))
+        return d + 3 * unpaired if d <= allowed else None
+
+    for _ in range(400):
+        words = list(rng.choice(forms))
+        rng.shuffle(words)
+        if rng.random() < 0.4:
+            words.append(rng.choice(stock))
+        for _ in range(rng.randint(0, 2)):
+            k = rng.randrange(len(words))
+            words[k] = words[k][:1] + rng.choice("xyz") + words[k][1:]
+        fits = {f: d for f in forms if (d := alike(words, f)) is not None}
+        wanted = sorted((d, f) for f, d in fits.items() if d == min(fits.values()))
+        joined = [x for x in index.similar(words) if x not in wanted]
+        got = index.similar(words)
+        assert got == wanted or joined and got[0][0] < min(fits.values(), default=99) + 1, words
+
+
 def test_similarity_equals_brute_force():
     rng = random.Random(1)
     names = ["".join(rng.choice(["ka", "lo", "mi", "tur", "es", "no"]) for _ in range(rng.randint(2, 6))) for _ in range(300)]
@@ -111,6 +154,17 @@ def test_entries_follow_redirects(spark):
     moves = spark.createDataFrame([("old", "older"), ("older", "a_tag"), ("loop", "pool"), ("pool", "loop"), ("gone", "nowhere"), ("h", "hair"), ("old_first", "first")], "antecedent_name string, consequent_name string")
     got = canonical.canonical_entries(tags, aliases, moves)
     assert got == sorted([("a_tag", 4, f, 5) for f in ("a_tag", "first", "old", "older", "old_first")] + [("series_x", 3, "series_x", 1)])
+    twice = spark.createDataFrame([("x", "series_x"), ("x", "a_tag"), ("y", "both")], "antecedent_name string, consequent_name string")
+    both = aliases.union(spark.createDataFrame([("series_x", "both"), ("a_tag", "both")], aliases.schema))
+    found = {f: tag for tag, _, f, _ in canonical.canonical_entries(tags, both, twice)}
+    assert found["x"] == "a_tag" and found["y"] == "a_tag"
+
+
+def test_unmatched_values_are_listed_with_their_rows(spark, small):
+    mapped = llm.QUERIES["p1_found"](spark, small)
+    listed = llm.QUERIES["p1_unmatched"](spark, small)
+    assert listed.columns == ["field", "value", "rows"]
+    assert listed.agg(F.sum("rows")).first()[0] == mapped.where("tag = ''").count() > 0
 
 
 def test_registered_queries_run_on_the_smallest_tables(spark, small):
