@@ -7,17 +7,10 @@ from pyspark.sql import functions as F
 
 from tagsieve.functions.text import blank, plain_form
 from tagsieve.llm import canonical, cooccur, copies, leakage, sentences, termfreq, tokenize, truncation
-from tagsieve.operators.packed import with_packed_values
-from tagsieve.plans.inputs import aliases_of_tags, known_in_dictionary, table
+from tagsieve.plans.inputs import aliases_of_tags, table, tag_lists
 from tagsieve.session import spread, written
 
 
-def _tag_lists(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """The named columns of characters with ``vals``, the values of tags; each row is split once and written."""
-    wanted = spread(table(spark, sf_dir, "characters").select(*columns, "tags"))
-    return written(with_packed_values(wanted, "tags", "vals", known_in_dictionary(spark, sf_dir)))
-
-
 def _mapped(spark: SparkSession, sf_dir: str, with_value: bool = False) -> DataFrame:
     tags = table(spark, sf_dir, "danbooru_tags").select("tag", "category", "post_count", "line_no")
     entries = canonical.canonical_entries(tags, aliases_of_tags(spark, sf_dir), table(spark, sf_dir, "tag_aliases"))
@@ -36,7 +29,7 @@ def p1_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cut_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = _tag_lists(spark, sf_dir, "id", "source").select("id", "source", F.col("tags").alias("text"), "vals")
+    records = tag_lists(spark, sf_dir, "id", "source").select("id", "source", F.col("tags").alias("text"), "vals")
     dictionary = table(spark, sf_dir, "danbooru_tags").select(plain_form("tag").alias("term"))
     return truncation.cut_scores(records, dictionary)
 
@@ -55,19 +48,19 @@ def p2_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members of the groups of listings that agree in source, name words and tag set."""
-    kept = _tag_lists(spark, sf_dir, "id", "source", "name").where(~blank("tags"))
+    kept = tag_lists(spark, sf_dir, "id", "source", "name").where(~blank("tags"))
     return copies.copy_members(written(copies.encoded_records(kept)))
 
 
 def p3_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each listing once, with its number of copies."""
-    kept = _tag_lists(spark, sf_dir, "id", "source", "name").where(~blank("tags"))
+    kept = tag_lists(spark, sf_dir, "id", "source", "name").where(~blank("tags"))
     return copies.copy_groups(copies.encoded_records(kept)).select("first_id", "copies")
 
 
 def _baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = F.array_distinct(F.transform("vals", lambda v: plain_form(v)))
-    return written(_tag_lists(spark, sf_dir, "id").select(F.filter(terms, lambda t: t != "").alias("items")))
+    return written(tag_lists(spark, sf_dir, "id").select(F.filter(terms, lambda t: t != "").alias("items")))
 
 
 def p5_surprise(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,26 +71,20 @@ def p5_surprise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs at least three times as frequent as for independent tags.
-
-    3 * n_a * n_b <= n * n_ab <= n * min(n_a, n_b) leaves no pair with a tag in more than a third of the rows.
-    """
-    baskets = _baskets(spark, sf_dir)
-    n = baskets.count()
-    pairs = cooccur.pair_surprise(baskets, max(5, -(-n // 2000)), n // 3)
-    lifted = F.col("n_ab") * n >= F.lit(3).cast("long") * F.col("n_a") * F.col("n_b")
+    """Of the pairs of p5_surprise those at least three times as frequent as for independent tags."""
+    pairs = p5_surprise(spark, sf_dir)
+    lifted = F.col("n_ab") * F.col("n") >= F.lit(3).cast("long") * F.col("n_a") * F.col("n_b")
     return pairs.where(lifted).select(F.col("item_a").alias("tag_a"), F.col("item_b").alias("tag_b"))
 
 
 def p6_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Occurrences and rows of every tag and every series, with their mark where they have one."""
-    lists = _tag_lists(spark, sf_dir, "id", "series")
-    tags = lists.select(F.lit("tags").alias("field"), F.explode_outer("vals").alias("term"), F.col("id").alias("rec_id"))
-    series = lists.select(F.lit("series").alias("field"), F.col("series").alias("term"), F.col("id").alias("rec_id"))
+    rows = table(spark, sf_dir, "characters").select("id", "series")
+    tags = tag_lists(spark, sf_dir, "id").select(F.lit("tags").alias("field"), F.explode_outer("vals").alias("term"), F.col("id").alias("rec_id"))
+    series = rows.select(F.lit("series").alias("field"), F.col("series").alias("term"), F.col("id").alias("rec_id"))
     pairs = tags.unionByName(series).withColumn("term", plain_form("term"))
-    rows = lists.count()
     found = termfreq.term_frequencies(pairs)
-    return found.withColumn("mark", termfreq.usefulness(F.col("records"), F.lit(rows)))
+    return found.withColumn("mark", termfreq.usefulness(F.col("records"), F.lit(rows.count())))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

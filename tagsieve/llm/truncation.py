@@ -6,9 +6,9 @@ ended inside a value, or right after a separator, is a cut one. Some cuts are ma
 shows a pile-up, some get a mark of omission.
 
 Features, hashed into a fixed vector of weights: closing characters, closing word, marks at the end, open quotes and
-brackets, distance to the source's pile-up lengths, and how often the closing value is seen complete elsewhere and as
-the start of longer values. The latter come from the corpus: counts of all values that are not last in their record
-(a last value may itself be cut), and of all their prefixes.
+brackets, the text's distance to the next pile-up length of its source, and how often the closing value is seen
+complete elsewhere and as the start of longer values. The latter come from the corpus: counts of all values that are
+not last in their record (a last value may itself be cut), and of all their prefixes of lengths that closing values have.
 
 The model is a logistic regression fitted on the driver on at most TRAIN_ROWS records; counts, limits and scores cover
 every row. The share of cut rows, which artificial examples do not tell, is estimated from the scores by expectation
@@ -30,13 +30,15 @@ from tagsieve.session import written
 
 TRAIN_ROWS = 40_000
 WEIGHTS = 1 << 18
-#: Values longer than this have no entries in the prefix counts; prefixes need values seen in so many rows, or listed.
-LONGEST_VALUE, LEAST_ROWS = 200, 3
 #: A length is a limit of a source if so many rows have it and so many times the mean of its ten neighbours.
 LIMIT_ROWS, LIMIT_TIMES = 8, 4
 BINS = 400
 MARKS = ("...", "…", "�")
 _SEPARATORS = ",;|、，\t"
+#: A value counts as what a fragment may go on to be if it is listed or stands in so many rows: rarer ones are mostly misprints.
+LEAST_ROWS = 3
+#: Distances to the next pile-up length are told apart up to the last of these.
+DISTANCES = (0, 1, 2, 4, 8, 16)
 
 
 def _bucket(n: float) -> int:
@@ -51,12 +53,24 @@ def bare(piece: str) -> tuple[str, str]:
     return piece, ""
 
 
+def near_limit(distance: int) -> int:
+    """Class of a distance to the next pile-up length; negative where the source has none above the text."""
+    return -1 if distance < 0 else next((k for k, most in enumerate(DISTANCES) if distance <= most), len(DISTANCES))
+
+
+def next_limit(n: int, limits: list[int]) -> int:
+    """Distance from a length to the next of the limits, or -1."""
+    return min((m - n for m in limits if m >= n), default=-1)
+
+
 def plain(value: str) -> str:
     return " ".join(value.lower().replace("_", " ").replace("\\", "").split())
 
 
-def features(text: str, piece: str, tail: str, count: int, source: str, at_limit: bool, support: float, completions: float, listed: bool) -> list[int]:
-    """Places in the weights of the features of one text that ends with ``piece`` and ``tail`` behind it."""
+def features(piece: str, tail: str, count: int, source: str, distance: int, support: float, completions: float, listed: bool) -> list[int]:
+    """Places in the weights of the features of one text that ends with ``piece`` and ``tail`` behind it, ``distance`` below
+    the next pile-up length of its source."""
+    near, at_limit = near_limit(distance), distance == 0
     stem, mark = (piece, "") if listed else bare(piece)
     words = plain(stem).split(" ")
     lower = stem.lower()
@@ -71,7 +85,7 @@ def features(text: str, piece: str, tail: str, count: int, source: str, at_limit
         f"ended {ended} seen {s > 0}",
         f"ended {ended} mark {bool(mark)} opened {opened}",
         f"opened {opened}",
-        f"limit {at_limit}",
+        f"limit {near}",
         f"limit {at_limit} seen {s > 1} starts {c > 0}",
         f"limit of {source} {at_limit}",
         f"support {s}",
@@ -94,17 +108,22 @@ def features(text: str, piece: str, tail: str, count: int, source: str, at_limit
 def value_counts(lists: DataFrame, dictionary: DataFrame) -> DataFrame:
     """(piece, support, completions, listed): rows with the value not in last place, rows with longer values that start so.
 
-    ``lists`` has vals (array<string>); ``dictionary`` has term, plain forms of listed values.
+    ``lists`` has vals (array<string>); ``dictionary`` has term, plain forms of listed values. Prefixes are counted for
+    the lengths that closing values have, as no other is looked up; a listed value counts once more.
     """
     inner = lists.select(F.explode_outer(F.array_distinct(F.transform(F.slice("vals", F.lit(1), F.greatest(F.size("vals") - 1, F.lit(0))), lambda v: plain_form(v)))).alias("piece"))
-    counts = written(inner.where(F.col("piece") != "").groupBy("piece").agg(F.count(F.lit(1)).alias("support")))
-    long_enough = counts.where(F.col("support") >= LEAST_ROWS)
     listed = dictionary.select(F.col("term").alias("piece")).where(F.col("piece") != "").distinct()
-    both = long_enough.unionByName(listed.withColumn("support", F.lit(1).cast("long"))).where(F.length("piece").between(2, LONGEST_VALUE))
-    prefixes = both.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("piece") - 1), lambda k: F.rtrim(F.substring(F.col("piece"), F.lit(1), k)))).alias("piece"), "support")
-    starts = prefixes.groupBy("piece").agg(F.sum("support").alias("completions"))
-    joined = counts.join(starts, "piece", "full_outer").join(listed.withColumn("listed", F.lit(True)), "piece", "full_outer")
-    return joined.select("piece", F.coalesce("support", F.lit(0)).alias("support"), F.coalesce("completions", F.lit(0)).alias("completions"), F.coalesce("listed", F.lit(False)).alias("listed"))
+    both = inner.where(F.col("piece") != "").withColumn("listed", F.lit(False)).unionByName(listed.withColumn("listed", F.lit(True)))
+    counts = written(both.groupBy("piece").agg(F.sum((~F.col("listed")).cast("long")).alias("support"), F.max("listed").alias("listed")))
+    closing = F.length(plain_form(F.element_at("vals", -1)))
+    ends = lists.select(F.explode(F.array(*(F.greatest(closing - k, F.lit(0)) for k in (0, 1, 3)))).alias("n"))  # without a mark of omission too
+    lengths = [r["n"] for r in ends.where("n > 0").distinct().collect()]  # whole numbers, at most the longest closing value
+    kept = F.filter(F.from_json(F.lit(str(sorted(lengths))), "array<int>"), lambda n: n < F.length("piece"))
+    prefixes = counts.where(F.col("listed") | (F.col("support") >= LEAST_ROWS)).select(F.explode(F.transform(kept, lambda k: F.rtrim(F.substring(F.col("piece"), F.lit(1), k)))).alias("piece"), (F.when(F.col("support") >= LEAST_ROWS, F.col("support")).otherwise(0) + F.col("listed").cast("long")).alias("completions"))
+    # Added up by the prefix that the value starts with; both sides meet in one aggregation.
+    empty, no = F.lit(0).cast("long"), F.lit(False)
+    rows = counts.withColumn("completions", empty).unionByName(prefixes.withColumn("support", empty).withColumn("listed", no))
+    return rows.groupBy("piece").agg(F.sum("support").alias("support"), F.sum("completions").alias("completions"), F.max("listed").alias("listed"))
 
 
 def length_limits(texts: DataFrame) -> DataFrame:
@@ -133,7 +152,7 @@ def _examples(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
         rows = []
         for id_, source, text, vals, limits in zip(f["id"], f["source"], f["text"], f["vals"], f["limits"]):
-            limits = [] if limits is None else sorted(limits)
+            limits = [] if limits is None else [int(m) for m in limits]
             rng = np.random.default_rng(zlib.crc32(repr((id_, source)).encode()))
             spans = _spans(text, list(vals))
             if len(spans) < 3 or len(spans) < len(vals):
@@ -142,7 +161,7 @@ def _examples(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
             def add(cut: int, k: int, piece: str, tail: str, whole: bool, seen: int, mark: str = "") -> None:
                 stem = plain(piece)
-                rows.append((whole, text[:cut] + mark, piece + mark, tail, k + 1, source, cut in limits and not mark, stem, 0 if not whole else seen, 0 if whole else seen))
+                rows.append((whole, text[:cut] + mark, piece + mark, tail, k + 1, source, next_limit(len(text[:cut].rstrip()), limits) if not mark else -1, stem, 0 if not whole else seen, 0 if whole else seen))
 
             k = int(rng.integers(1, inner))
             add(spans[k][1], k, text[slice(*spans[k])], "", True, 1)
@@ -166,7 +185,7 @@ def _examples(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 mark = MARKS[int(rng.integers(0, 3))] if rng.random() < 0.15 else ""
                 if fragment.strip():
                     add(cut, k, quote + fragment.rstrip(), "", False, 1, mark)
-        yield pd.DataFrame(rows, columns=["whole", "text", "piece", "tail", "n", "source", "at_limit", "stem", "own_support", "own_completions"])
+        yield pd.DataFrame(rows, columns=["whole", "text", "piece", "tail", "n", "source", "distance", "stem", "own_support", "own_completions"])
 
 
 def fit(places: list[list[int]], cut: np.ndarray, rounds: int = 300, decay: float = 2e-6) -> np.ndarray:
@@ -203,44 +222,42 @@ def cut_scores(records: DataFrame, dictionary: DataFrame) -> DataFrame:
     """
     kept = written(records.where(~blank("text") & (F.size("vals") > 0)).select("id", source_key("source").alias("source"), "text", "vals"))
     counts = written(value_counts(kept, dictionary))
-    limits = written(length_limits(kept))
+    limits = written(length_limits(kept).groupBy("source").agg(F.sort_array(F.collect_set("n")).alias("limits")))
     rows = kept.count()
     step = max(1, -(-rows // TRAIN_ROWS))
     sample = kept.where(F.pmod(F.xxhash64("id", "text"), F.lit(step)) == 0)  # the bounded sample the model is fitted on
-    by_source = limits.groupBy("source").agg(F.collect_set("n").alias("limits"))
-    schema = "whole boolean, text string, piece string, tail string, n int, source string, at_limit boolean, stem string, own_support long, own_completions long"
-    examples = sample.join(by_source, "source", "left").mapInPandas(_examples, schema)
+    schema = "whole boolean, text string, piece string, tail string, n int, source string, distance int, stem string, own_support long, own_completions long"
+    examples = sample.join(limits, "source", "left").mapInPandas(_examples, schema)
     known = counts.withColumnRenamed("piece", "stem")
     train = examples.join(known, "stem", "left").toPandas().sort_values(["text", "whole"])
     places = [
-        features(t, p, tail, n, s, m, max(0, (0 if pd.isna(a) else a) - oa), max(0, (0 if pd.isna(c) else c) - oc), li is True or li == True)  # noqa: E712
-        for t, p, tail, n, s, m, a, c, li, oa, oc in zip(*(train[x] for x in ("text", "piece", "tail", "n", "source", "at_limit", "support", "completions", "listed", "own_support", "own_completions")))
+        features(p, tail, n, s, m, max(0, (0 if pd.isna(a) else a) - oa), max(0, (0 if pd.isna(c) else c) - oc), li is True or li == True)  # noqa: E712
+        for p, tail, n, s, m, a, c, li, oa, oc in zip(*(train[x] for x in ("piece", "tail", "n", "source", "distance", "support", "completions", "listed", "own_support", "own_completions")))
     ]
     shared = records.sparkSession.sparkContext.broadcast(fit(places, ~train["whole"].to_numpy(bool)).astype(np.float32))
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w = shared.value
         for f in frames:
-            out = np.empty(len(f))
-            columns = (f[x] for x in ("text", "piece", "n", "source", "at_limit", "support", "completions", "listed"))
-            for k, (t, p, n, s, m, a, c, li) in enumerate(zip(*columns)):
-                at = t.rfind(p)
-                tail = t[at + len(p) :].lstrip("\"'”") if at >= 0 else ""
-                out[k] = w[features(t, p, tail, n, s, bool(m), a, c, bool(li))].sum()
+            columns = (f[x] for x in ("piece", "tail", "n", "source", "distance", "support", "completions", "listed"))
+            places = [features(p, tail, n, s, m, a, c, bool(li)) for p, tail, n, s, m, a, c, li in zip(*columns)]
+            out = w[np.array(places, dtype=np.int64)].sum(1) if places else np.zeros(0)
             yield pd.DataFrame({"id": f["id"], "source": f["source"], "raw": 1 / (1 + np.exp(-out))})
 
-    # Two keys, so that a source with most of the rows is spread over its lengths.
-    marked = kept.withColumn("n", F.length("text")).join(limits.withColumn("at_limit", F.lit(True)), ["source", "n"], "left").drop("n")
-    last = marked.select("id", "source", "text", F.coalesce("at_limit", F.lit(False)).alias("at_limit"), F.element_at("vals", -1).alias("piece"), F.size("vals").alias("n"))
-    exact = plain_form("piece")
-    stem = F.regexp_replace("piece", r"(?s)(?<=.)(?:\.\.\.|…|\x{fffd})$", "")
+    # What the features need of a text is its end: the text itself does not travel through the joins.
+    piece = F.element_at("vals", -1)
+    behind = F.when(F.contains("text", piece), F.ltrim(F.expr("substring_index(text, element_at(vals, -1), -1)"), F.lit("\"'”"))).otherwise("")
+    ends = kept.select("id", "source", F.length(F.rtrim("text")).alias("_length"), piece.alias("piece"), F.size("vals").alias("n"), behind.alias("tail"))
+    near = ends.join(limits, "source", "left").withColumn("distance", F.coalesce(F.array_min(F.filter(F.transform("limits", lambda m: m - F.col("_length")), lambda d: d >= 0)), F.lit(-1)))
+    looked = near.select("id", "source", "piece", "n", "tail", "distance", plain_form("piece").alias("_exact"), plain_form(F.regexp_replace("piece", r"(?s)(?<=.)(?:\.\.\.|…|\x{fffd})$", "")).alias("_stem"))
+    found = F.struct("support", "completions", "listed")
+    by_stem = counts.select(F.col("piece").alias("_stem"), found.alias("_c"))
     # A value that ends in a mark of omission by itself is looked up as it stands first.
-    looked = last.withColumn("_exact", exact).withColumn("_stem", plain_form(stem))
-    by_exact = counts.where("listed or support > 0").select(F.col("piece").alias("_exact"), F.struct("support", "completions", "listed").alias("_a"))
-    by_stem = counts.select(F.col("piece").alias("_stem"), F.struct("support", "completions", "listed").alias("_b"))
-    found = looked.join(by_exact, "_exact", "left").join(by_stem, "_stem", "left").withColumn("_c", F.coalesce("_a", "_b"))
-    ready = found.select(
-        "id", "source", "text", "piece", "n", "at_limit",
+    plainly = looked.where("_exact = _stem").join(by_stem, "_stem", "left")
+    by_exact = counts.where("listed or support > 0").select(F.col("piece").alias("_exact"), found.alias("_a"))
+    marked = looked.where("_exact <> _stem").join(by_exact, "_exact", "left").join(by_stem, "_stem", "left").withColumn("_c", F.coalesce("_a", "_c")).drop("_a")
+    ready = plainly.unionByName(marked).select(
+        "id", "source", "piece", "tail", "n", "distance",
         F.coalesce("_c.support", F.lit(0)).alias("support"), F.coalesce("_c.completions", F.lit(0)).alias("completions"), F.coalesce("_c.listed", F.lit(False)).alias("listed"),
     )
     kind = kept.schema["id"].dataType.simpleString()
