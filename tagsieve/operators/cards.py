@@ -76,8 +76,8 @@ def _rows(page: int, html: str | None) -> list[tuple]:
     return out
 
 
-def extract_cards(pages: DataFrame, base_url: str, rank_base: int = 0) -> DataFrame:
-    """(name, series, tags, image_url, rank) of pages (page, html).
+def extract_cards(pages: DataFrame, base_url: str, rank_base: int = 0, source: str | None = None) -> DataFrame:
+    """(name, series, tags, image_url, rank) of pages (page, html), and their source where it is given.
 
     Cards without a header or name are skipped but keep their place in the rank. Relative image paths get the base. The
     series is the first of the next three tags with at most four words and none of NO_SERIES inside.
@@ -95,4 +95,5 @@ def extract_cards(pages: DataFrame, base_url: str, rank_base: int = 0) -> DataFr
     root = base_url.rstrip("/")
     image = F.when(F.coalesce("image", F.lit("")) == "", None).when(F.col("image").startswith("http"), F.col("image")).otherwise(F.concat(F.lit(root + "/"), F.regexp_replace("image", "^/+", "")))
     rank = (F.col("page") - 1) * CARDS_A_PAGE + F.col("card") + 1 + F.lit(rank_base)
-    return cards.select("name", F.get(short, 0).alias("series"), "tags", image.alias("image_url"), rank.alias("rank"))
+    found = cards.select("name", F.get(short, 0).alias("series"), "tags", image.alias("image_url"), rank.alias("rank"))
+    return found if source is None else found.withColumn("source", F.lit(source))

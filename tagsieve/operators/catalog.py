@@ -8,7 +8,7 @@ from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagsieve.functions.text import fold, like_contains, like_folded, search_terms, search_terms_of
@@ -55,9 +55,46 @@ def search(catalog: DataFrame, query: str = "", series: str | None = None, tag_s
     return found if ids is None else found.join(ids.select("id").distinct(), "id", "left_semi").select(*COLUMNS)
 
 
-def page(rows: DataFrame, number: int = 1, size: int = PAGE_SIZE) -> DataFrame:
+def page_size(size: object) -> int:
+    """A setting as page size: what is no number gives PAGE_SIZE, numbers are kept between 1 and LARGEST_PAGE."""
+    try:
+        return max(1, min(int(size), LARGEST_PAGE))  # type: ignore[call-overload]
+    except (TypeError, ValueError):
+        return PAGE_SIZE
+
+
+def page_number(number: object, pages: int) -> int:
+    """A typed page number: what is no number gives 1, numbers are kept between 1 and the number of pages."""
+    try:
+        return max(1, min(int(float(number)), pages))  # type: ignore[arg-type]
+    except (TypeError, ValueError, OverflowError):
+        return 1
+
+
+def page_at(rows: DataFrame, number: object, size: object = PAGE_SIZE) -> DataFrame:
+    """The page with a typed number, the last one where it lies beyond the end; rows are counted first."""
+    pages = max(1, -(-rows.count() // page_size(size)))
+    return page(rows, page_number(number, pages), page_size(size))
+
+
+def row_at(rows: DataFrame, index: int) -> DataFrame:
+    """The row of a page by its place from 0 in order of rank and id; an empty card, all NULL, where there is none."""
+    found = rows.orderBy(F.asc_nulls_first("rank"), "id").offset(max(0, index)).limit(1 if index >= 0 else 0)
+    one = rows.sparkSession.range(1).select(F.lit(1).alias("_one"))
+    return one.join(found.withColumn("_one", F.lit(1)), "_one", "left").select(*rows.columns)
+
+
+def is_populated(spark: SparkSession, path: str) -> bool:
+    """Whether a catalog is there and has a row; anything that cannot be read counts as empty."""
+    try:
+        return not spark.read.parquet(path).isEmpty()
+    except Exception:  # noqa: BLE001
+        return False
+
+
+def page(rows: DataFrame, number: int = 1, size: object = PAGE_SIZE) -> DataFrame:
     """One page in order of rank (NULL first), then id."""
-    size = max(1, min(int(size), LARGEST_PAGE))
+    size = page_size(size)
     return rows.orderBy(F.asc_nulls_first("rank"), "id").offset((max(1, number) - 1) * size).limit(size)
 
 

@@ -13,7 +13,7 @@ NOISE_TAGS = [
     "highres", "absurdres", "ultra-detailed", "commentary", "commentary request", "english commentary", "translation request", "translated", "paid reward available",
     "patreon reward", "official art", "scan", "censored", "uncensored", "jpeg artifacts", "watermark", "web address", "signature",
 ]
-LEAST_SHARE, MOST_TAGS = 0.08, 40
+LEAST_SHARE, MOST_TAGS, MOST_POSTS = 0.08, 40, 200
 
 
 def latest_posts(posts: DataFrame) -> DataFrame:
@@ -22,6 +22,15 @@ def latest_posts(posts: DataFrame) -> DataFrame:
     return last.select("seed_tag", "post_id", "p.*")
 
 
+def sampled_posts(posts: DataFrame, most: int = 120) -> DataFrame:
+    """The newest posts of each seed, at most ``most`` and never more than MOST_POSTS; a smaller number than 1 gives none.
+
+    The filter on the row number is pushed in front of the exchange, so a hot seed leaves each task as a few rows.
+    """
+    newest = F.row_number().over(Window.partitionBy("seed_tag").orderBy(F.desc("post_id")))
+    return posts.withColumn("_k", newest).where(F.col("_k") <= min(most, MOST_POSTS)).drop("_k")
+
+
 def _tags(c: str) -> Column:
     return F.filter(F.split(F.coalesce(F.col(c), F.lit("")), r"(?U)\s+"), lambda t: t != "")
 

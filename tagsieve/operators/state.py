@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,6 +40,25 @@ def recently_viewed(log: DataFrame) -> DataFrame:
     return most_recent(once(log).where((F.col("act") == "view") & F.col("char_id").isNotNull()), F.col("char_id"), RECENT_CAP)
 
 
+def recent_pages(recents: DataFrame, number: int, size: int = 30) -> DataFrame:
+    """Page ``number`` of each user's list (user_id, place, item), the nearest one where the user has fewer pages."""
+    pages = recents.groupBy("user_id").agg(F.expr(f"(max(place) + {size - 1}) div {size}").cast("int").alias("pages"))
+    shown = recents.join(pages, "user_id").withColumn("page", F.greatest(F.lit(1), F.least(F.lit(number), F.col("pages"))))
+    return shown.where(F.expr(f"(place - 1) div {size} = page - 1")).select("user_id", "page", "place", "item")
+
+
+def cleared(state: DataFrame, users: DataFrame) -> DataFrame:
+    """The state without the users (user_id) who cleared it."""
+    return state.join(users.select("user_id").distinct(), "user_id", "left_anti")
+
+
+def first_of(ids: DataFrame, *lists: DataFrame) -> DataFrame:
+    """(id, place, row): for each id (column id) the row of the first of the lists, all with equal columns, that has it."""
+    marked = [rows.select("id", F.lit(k).alias("place"), F.struct(*rows.columns).alias("row")) for k, rows in enumerate(lists)]
+    every = reduce(DataFrame.unionByName, marked).join(ids.select("id").distinct(), "id", "left_semi")
+    return every.groupBy("id").agg(F.min(F.struct("place", "row")).alias("x")).select("id", "x.place", "x.row")
+
+
 def favorites(log: DataFrame) -> DataFrame:
     """(user_id, char_id) toggled an odd number of times."""
     toggles = once(log).where((F.col("act") == "favorite") & F.col("char_id").isNotNull())
@@ -55,7 +76,8 @@ def cache_use(fetches: DataFrame, key: str, at: str, ttl: int = TTL_SECONDS) ->
     state is a fold over the requests of a key in order of time.
 
     The fold needs one number from request to request; rows stream through in batches, sorted by key and time in partitions
-    cut by key, and nothing but the last fetch of the current key is held.
+    cut by key, and nothing but the last fetch of the current key is held. Only fetches are stepped through: what an answer
+    serves is found by binary search.
     """
     ready = fetches.select(F.col(key).alias("key"), F.col(at).alias("at")).where(F.col("key").isNotNull() & F.col("at").isNotNull())
     ordered = ready.repartition("key").sortWithinPartitions("key", "at")
@@ -63,13 +85,18 @@ def cache_use(fetches: DataFrame, key: str, at: str, ttl: int = TTL_SECONDS) ->
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, fetched = None, None
         for f in frames:
-            hits = []
-            for k, t in zip(f["key"], f["at"]):
-                if k != current:
-                    current, fetched = k, None
-                hit = fetched is not None and (t - fetched).total_seconds() < ttl
-                fetched = fetched if hit else t
-                hits.append(hit)
+            if not len(f):
+                continue
+            times, keys = f["at"].to_numpy("datetime64[us]").astype("int64"), f["key"].to_numpy()
+            hits = np.ones(len(f), dtype=bool)
+            starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            for a, b in zip(starts, np.append(starts[1:], len(f))):
+                if keys[a] != current:
+                    current, fetched = keys[a], None
+                at = a if fetched is None else a + int(np.searchsorted(times[a:b], fetched + ttl * 1_000_000))
+                while at < b:
+                    hits[at], fetched = False, int(times[at])
+                    at = a + int(np.searchsorted(times[a:b], fetched + ttl * 1_000_000))
             yield f.assign(hit=hits)
 
     kind = dict(ready.dtypes)

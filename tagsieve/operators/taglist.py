@@ -20,8 +20,8 @@ def unique(tags: Column | str) -> Column:
 
 def append_unique(existing: Column | str, incoming: Column | str) -> Column:
     """Existing tags as they stand, then incoming ones whose compare form is new; repeats inside ``existing`` stay."""
-    have = F.transform(col(existing), lambda t: F.lower(strip(t)))
-    fresh = unique(F.filter(col(incoming), lambda t: ~F.array_contains(have, F.lower(strip(t)))))
+    have = F.transform(col(existing), lambda t: compare_form(t))
+    fresh = unique(F.filter(col(incoming), lambda t: ~F.array_contains(have, compare_form(t))))
     return F.concat(col(existing), fresh)
 
 
@@ -48,12 +48,23 @@ def in_class_order(rows: DataFrame, id_col: str, tags_col: str, lookup: DataFram
     each = rows.select(F.col(id_col), F.posexplode(comma_tags(tags_col)).alias("pos", "tag")).withColumn("_key", compare_form("tag"))
     known = lookup.groupBy(compare_form("tag").alias("_key")).agg(F.max("category").alias("category"))
     joined = each.join(known, "_key", "left")
-    count_tag = F.col("tag").rlike(_COUNT_TAG)
-    rank = F.when(count_tag & F.lower("tag").contains("boy"), 0).when(count_tag, 1).when(F.col("category") == 4, 2).when(F.col("category") == 3, 3).otherwise(4)
+    rank = class_rank(F.col("tag"), F.col("category"))
     grouped = joined.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct(rank.alias("class"), F.col("pos"), F.col("tag")))).alias("x"))
     return grouped.select(id_col, F.array_join(F.transform("x", lambda t: t["tag"]), ", ").alias("ordered"))
 
 
+def class_rank(tag: Column, category: Column) -> Column:
+    """Boys, girls, characters, series, others."""
+    count_tag = tag.rlike(_COUNT_TAG)
+    return F.when(count_tag & F.lower(tag).contains("boy"), 0).when(count_tag, 1).when(category == 4, 2).when(category == 3, 3).otherwise(4)
+
+
+def ordered_by(tags: Column | str, categories: Column) -> Column:
+    """The list in class order, stable inside each class; ``categories`` is a map from compare form to category."""
+    placed = F.transform(col(tags), lambda t, k: F.struct(class_rank(t, F.try_element_at(categories, compare_form(t))).alias("class"), k.alias("pos"), t.alias("tag")))
+    return F.transform(F.array_sort(placed), lambda x: x["tag"])
+
+
 def with_head(tags: Column | str, head: Column | str) -> Column:
     """``head`` in front unless a tag equals it in compare form."""
     forms = F.transform(col(tags), lambda t: compare_form(t))

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagsieve.functions import text as T
-from tagsieve.operators import cards, catalog, cleaning, dictionary, profile, resolve, state, taglist
+from tagsieve.operators import cards, catalog, cleaning, dictionary, extras, profile, resolve, state, taglist
 from tagsieve.plans.inputs import table
-from tagsieve.session import spread
+from tagsieve.session import shared_folder, spread, written
 from tagsieve.sinks import writers
+from tagsieve.sources import readers
 from tagsieve.streaming import state as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -179,14 +181,18 @@ def catalog_rank_max(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.resume_points(cat(spark, sf))
 
 
+_OWN = "regexp_replace(lower(source), '[^\\p{L}\\p{N}]+', '', 'g') = 'danbooru'"
+
+
 @query(
-    f"""WITH e AS (SELECT * FROM {CATALOG} WHERE source = 'danbooru'), i AS (SELECT * FROM {CATALOG} WHERE source = 'e621' AND name IS NOT NULL AND tags IS NOT NULL),
+    f"""WITH e AS (SELECT * FROM {CATALOG} WHERE {_OWN}), i AS (SELECT * FROM {CATALOG} WHERE NOT {_OWN} AND name IS NOT NULL AND tags IS NOT NULL),
  f AS (SELECT min(id) AS id FROM i WHERE rank IS NOT NULL AND rank NOT IN (SELECT rank FROM e WHERE rank IS NOT NULL) GROUP BY rank)
  SELECT id, rank, source FROM e UNION ALL SELECT id, rank, source FROM i WHERE rank IS NULL OR id IN (SELECT id FROM f)"""
 )
 def catalog_insert_or_ignore(spark: SparkSession, sf: str) -> DataFrame:
-    rows = cat(spark, sf)
-    return catalog.insert_or_ignore(rows.where(F.col("source") == "danbooru"), rows.where(F.col("source") == "e621")).select("id", "rank", "source")
+    """Rows of all other sources added to those of the first one, however it is spelled."""
+    rows, own = cat(spark, sf), T.source_key("source") == "danbooru"
+    return catalog.insert_or_ignore(rows.where(own), rows.where(~own)).select("id", "rank", "source")
 
 
 @query("SELECT id, name, r AS position FROM (SELECT id, name, row_number() OVER (ORDER BY id) - 1 AS r, greatest(1, (SELECT count(*) FROM characters) // 100) AS s FROM characters) WHERE r % s = 0 AND r < s * 100")
@@ -197,9 +203,18 @@ def catalog_sample(spark: SparkSession, sf: str) -> DataFrame:
 _NAMES = "CASE category WHEN 0 THEN 'general' WHEN 1 THEN 'artist' WHEN 3 THEN 'copyright' WHEN 4 THEN 'character' WHEN 5 THEN 'meta' ELSE 'unknown' END"
 
 
-@query(f"SELECT line_no, tag, category, post_count, len(aliases) AS n_aliases, {_NAMES} AS category_name FROM {DICT}")
+@query(f"SELECT line_no, tag, category, post_count, aliases, {_NAMES} AS category_name FROM {DICT}")
 def dict_load(spark: SparkSession, sf: str) -> DataFrame:
-    return words(spark, sf).select("line_no", "tag", "category", "post_count", F.size("aliases").alias("n_aliases"), "category_name")
+    return words(spark, sf).select("line_no", "tag", "category", "post_count", "aliases", "category_name")
+
+
+@query(f"SELECT tag, category, post_count, aliases, {_NAMES} AS category_name FROM {DICT}")
+def dict_read_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """The dictionary written as a CSV file, in file order and with quoting, and read by the CSV reader."""
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    rows = table(spark, sf, "danbooru_tags").orderBy("line_no").coalesce(1).select(F.col("tag").alias(" Tag "), "category", "post_count", "aliases")
+    rows.write.csv(path, header=True, quote='"', escape='"', quoteAll=True, emptyValue="")
+    return readers.read_dictionary(spark, path).select("tag", "category", "post_count", "aliases", "category_name")
 
 
 @query(f"SELECT count(DISTINCT tag) AS tags FROM {DICT}")
@@ -247,14 +262,14 @@ _RECORDS = f"SELECT t AS name, row_number() OVER (ORDER BY t) - 1 AS seq, n FROM
 
 @query(
     f"""WITH r AS ({_RECORDS}), d AS {DICT} SELECT coalesce(d.tag, r.name) AS tag, coalesce(d.line_no, (SELECT max(line_no) FROM d) + r.seq + 1) AS line_no, CASE WHEN r.name IS NULL THEN d.category ELSE 3 END AS category,
- CASE WHEN r.name IS NULL THEN d.post_count ELSE r.n END AS post_count, CASE WHEN r.name IS NULL THEN len(d.aliases) ELSE 0 END AS n_aliases FROM d FULL JOIN r ON r.name = d.tag"""
+ CASE WHEN r.name IS NULL THEN d.post_count ELSE r.n END AS post_count, CASE WHEN r.name IS NULL THEN d.aliases ELSE [] END AS aliases FROM d FULL JOIN r ON r.name = d.tag"""
 )
 def dict_upsert(spark: SparkSession, sf: str) -> DataFrame:
     """Copyright tags of the posts written over the dictionary, as records of an API would be."""
     each = table(spark, sf, "posts").select(F.explode(F.filter(F.split(F.coalesce("tag_string_copyright", F.lit("")), r"(?U)\s+"), lambda t: t != "")).alias("name"))
     records = catalog.numbered(each.groupBy("name").agg(F.count(F.lit(1)).alias("post_count")), "name")
     rows = dictionary.upsert(words(spark, sf), records.select("name", F.lit(3).alias("category"), "post_count", F.col("position").alias("seq")))
-    return rows.select("tag", "line_no", "category", "post_count", F.size("aliases").alias("n_aliases"))
+    return rows.select("tag", "line_no", "category", "post_count", "aliases")
 
 
 @query(r"""SELECT doc_id, i - 1 AS pos, lower(replace(regexp_replace(l[i], '^[\t-\r \x{85}\p{Z}]+|[\t-\r \x{85}\p{Z}]+$', '', 'g'), ' ', '_')) AS link FROM (
@@ -263,11 +278,11 @@ def page_links(spark: SparkSession, sf: str) -> DataFrame:
     return dictionary.wiki_links(table(spark, sf, "documents"), "doc_id", "text")
 
 
-def sql_profiles(where: str = "true") -> str:
+def sql_profiles(where: str = "true", most: int = 40, posts: str = "posts") -> str:
     lists = " UNION ALL ".join(f"SELECT seed_tag, post_id, {k} AS category, list_filter(regexp_split_to_array(coalesce({c}, ''), '{WS}+'), lambda t: t <> '') AS l FROM p" for k, c in ((4, "tag_string_character"), (3, "tag_string_copyright"), (0, "tag_string_general"), (-1, "tag_string")))
     noise = ", ".join(f"'{t}'" for t in profile.NOISE_TAGS)
     return f"""WITH p AS (SELECT seed_tag, post_id, r.g AS tag_string_general, r.c AS tag_string_character, r.y AS tag_string_copyright, r.t AS tag_string FROM (SELECT seed_tag, post_id,
-  arg_max(struct_pack(g := tag_string_general, c := tag_string_character, y := tag_string_copyright, t := tag_string), fetched_at) AS r FROM posts WHERE {where} GROUP BY 1, 2)),
+  arg_max(struct_pack(g := tag_string_general, c := tag_string_character, y := tag_string_copyright, t := tag_string), fetched_at) AS r FROM {posts} WHERE {where} GROUP BY 1, 2)),
  l AS ({lists}), s AS (SELECT seed_tag, max(CASE WHEN category >= 0 AND len(l) > 0 THEN 1 ELSE 0 END) AS new_style FROM l GROUP BY 1),
  e AS (SELECT seed_tag, post_id, category, l, unnest(range(1, len(l) + 1)) AS i FROM l),
  t AS (SELECT e.seed_tag, greatest(category, 0) AS category, l[i] AS raw_tag, count(*) AS n, min(struct_pack(post_id, i)) AS first FROM e JOIN s USING (seed_tag)
@@ -276,7 +291,7 @@ def sql_profiles(where: str = "true") -> str:
  f AS (SELECT t.*, n / posts AS share, CASE category WHEN 4 THEN 0 WHEN 3 THEN 1 ELSE 2 END AS prio FROM t JOIN q USING (seed_tag)),
  o AS (SELECT *, row_number() OVER (PARTITION BY seed_tag, raw_tag ORDER BY prio) AS k FROM f WHERE share >= 0.08 AND NOT (category = 0 AND replace(raw_tag, '_', ' ') IN ({noise}))),
  r AS (SELECT *, row_number() OVER (PARTITION BY seed_tag ORDER BY prio, n DESC, first) AS place FROM o WHERE k = 1)
- SELECT seed_tag, place, replace(raw_tag, '_', ' ') AS tag, raw_tag, n AS count, round(share, 3) AS frequency, category, CASE category WHEN 4 THEN 'character' WHEN 3 THEN 'copyright' ELSE 'general' END AS category_name FROM r WHERE place <= 40"""
+ SELECT seed_tag, place, replace(raw_tag, '_', ' ') AS tag, raw_tag, n AS count, round(share, 3) AS frequency, category, CASE category WHEN 4 THEN 'character' WHEN 3 THEN 'copyright' ELSE 'general' END AS category_name FROM r WHERE place <= {most}"""
 
 
 def _profiles(spark: SparkSession, sf: str) -> DataFrame:
@@ -314,7 +329,7 @@ def taglist_unique(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT id, list_concat(have, CASE WHEN danbooru_tag IS NULL OR {sql_strip('danbooru_tag')} = '' OR list_contains(list_transform(have, lambda t: lower({sql_strip('t')})), lower({sql_strip('danbooru_tag')}))
+    f"""SELECT id, list_concat(have, CASE WHEN danbooru_tag IS NULL OR {sql_strip('danbooru_tag')} = '' OR list_contains(list_transform(have, lambda t: {_FORM}), replace(lower({sql_strip('danbooru_tag')}), '_', ' '))
  THEN [] ELSE [danbooru_tag] END) AS tags FROM (SELECT id, {sql_commas('tags')} AS have, danbooru_tag FROM characters)"""
 )
 def taglist_append(spark: SparkSession, sf: str) -> DataFrame:
@@ -385,7 +400,7 @@ def series_clean(spark: SparkSession, sf: str) -> DataFrame:
 
 _VALID = "SELECT lower(replace(tag, '_', ' ')) AS t, max(post_count) AS n FROM danbooru_tags GROUP BY 1"
 _REPAIR = f"""WITH d AS (SELECT tag, arg_max(post_count, line_no) AS post_count FROM danbooru_tags GROUP BY 1), v AS (SELECT lower(replace(tag, '_', ' ')) AS t, max(coalesce(post_count, 0)) AS n FROM d GROUP BY 1),
- x AS (SELECT t, n, unnest(range(3, length(t))) AS k FROM v WHERE n >= 500 AND length(t) BETWEEN 4 AND 64),
+ x AS (SELECT t, n, unnest(range(3, length(t))) AS k FROM v WHERE n >= 500 AND length(t) > 3),
  p AS (SELECT substr(t, 1, k) AS partial, max(struct_pack(edge := CAST(substr(t, k + 1, 1) IN (' ', '(', ')') AS INTEGER), n := n, t := t)).t AS completion FROM x GROUP BY 1),
  r AS (SELECT id, tags, regexp_replace(tags, '{WS}+$', '') AS rt FROM characters), s AS (SELECT *, list_transform(string_split(rt, ','), lambda y: {sql_strip('y')}) AS parts FROM r), u AS (SELECT *, lower(parts[-1]) AS last FROM s),
  a AS (SELECT u.*, p.completion, CASE WHEN coalesce(tags, '') = '' THEN 'ok' WHEN ends_with(rt, ',') THEN 'strip_comma' WHEN v.t IS NOT NULL THEN 'ok' WHEN p.completion IS NOT NULL THEN 'completed' WHEN length(last) >= 3 THEN 'ok' ELSE 'removed' END AS action
@@ -432,37 +447,53 @@ _RESOLVED = f"""WITH keys AS ({_KEYS}), idx AS ({ORACLES['dict_alias_index']}),
  seeds AS ({_SEEDS}), nm AS (SELECT id, {sql_words('plain')} AS w FROM ({ORACLES['name_parts']})),
  fit AS (SELECT k.id, prio, label, raw_tag, n, first FROM keys k JOIN seeds s ON s.seed = k.key JOIN nm USING (id) WHERE list_has_any({sql_words('raw_tag')}, w)),
  best AS (SELECT id, prio, label, arg_min(raw_tag, struct_pack(a := -n, first)) AS raw_tag FROM fit GROUP BY 1, 2, 3),
- post AS (SELECT id, min(struct_pack(prio, label, canonical)) AS h FROM best JOIN idx ON idx.key = best.raw_tag GROUP BY id)
- SELECT c.id, CASE WHEN dic.h IS NOT NULL THEN replace(dic.h.canonical, '_', ' ') WHEN post.h IS NOT NULL THEN replace(post.h.canonical, '_', ' ') ELSE '' END AS tag,
- CASE WHEN dic.h IS NOT NULL THEN 'csv:' || dic.h.label WHEN post.h IS NOT NULL THEN post.h.label ELSE 'not_found' END AS strategy FROM characters c LEFT JOIN dic ON dic.id = c.id LEFT JOIN post ON post.id = c.id"""
+ post AS (SELECT id, min(struct_pack(prio, label, canonical)) AS h FROM best JOIN idx ON idx.key = best.raw_tag GROUP BY id),
+ q AS (SELECT * FROM keys WHERE id NOT IN (SELECT id FROM dic) AND id NOT IN (SELECT id FROM post)),
+ cand AS (SELECT key, tag, post_count FROM (SELECT q.key, d.tag, d.post_count, row_number() OVER (PARTITION BY q.key ORDER BY d.post_count DESC, d.tag) AS k
+  FROM (SELECT DISTINCT key FROM q) q JOIN {DICT} d ON d.category = 4 AND contains(lower(d.tag), q.key)) WHERE k <= 20),
+ own AS (SELECT id, {sql_words('plain')} AS w, {sql_words('suffix')} AS sw, {sql_words('base')} AS bw FROM ({ORACLES['name_parts']})),
+ sc AS (SELECT q.id, prio, label, tag, post_count, len(list_intersect({sql_words('tag')}, w)) AS overlap, sw, {sql_words(f"regexp_extract(tag, '\\(([^)]+)\\){WS}*$', 1)")} AS csw
+  FROM q JOIN cand ON cand.key = q.key JOIN own ON own.id = q.id WHERE NOT (label = 'base' AND len(sw) > 0 AND len(bw) < 2)),
+ srt AS (SELECT id, prio, label, arg_max(tag, struct_pack(overlap, post_count, tag)) AS tag FROM sc WHERE overlap > 0 AND (len(sw) = 0 OR len(csw) = 0 OR list_has_any(sw, csw)) GROUP BY 1, 2, 3),
+ sea AS (SELECT id, min(struct_pack(prio, label, canonical)) AS h FROM srt JOIN idx ON idx.key = lower(srt.tag) GROUP BY id)
+ SELECT c.id, CASE WHEN dic.h IS NOT NULL THEN replace(dic.h.canonical, '_', ' ') WHEN post.h IS NOT NULL THEN replace(post.h.canonical, '_', ' ') WHEN sea.h IS NOT NULL THEN replace(sea.h.canonical, '_', ' ') ELSE '' END AS tag,
+ CASE WHEN dic.h IS NOT NULL THEN 'csv:' || dic.h.label WHEN post.h IS NOT NULL THEN post.h.label WHEN sea.h IS NOT NULL THEN 'tag_search:' || sea.h.label ELSE 'not_found' END AS strategy
+ FROM characters c LEFT JOIN dic ON dic.id = c.id LEFT JOIN post ON post.id = c.id LEFT JOIN sea ON sea.id = c.id"""
 
 
 @query(_RESOLVED)
 def resolve_cascade(spark: SparkSession, sf: str) -> DataFrame:
-    """Names of the catalog by the dictionary, then by the character tags of their posts."""
+    """Names of the catalog by the dictionary, then by the character tags of their posts, then by a search for tags."""
+    return _resolved(spark, sf, ("dictionary", "posts", "search"))
+
+
+def _resolved(spark: SparkSession, sf: str, stages: tuple[str, ...]) -> DataFrame:
     names = table(spark, sf, "characters").select("id", "name")
     index = dictionary.alias_index(words(spark, sf))
-    keyed = resolve.keys(names, table(spark, sf, "tag_aliases"))
+    keyed = written(resolve.keys(names, table(spark, sf, "tag_aliases")))
     posts = profile.latest_posts(table(spark, sf, "posts"))
     each = posts.select("seed_tag", "post_id", F.posexplode(F.filter(F.split(F.coalesce("tag_string_character", F.lit("")), r"(?U)\s+"), lambda t: t != "")).alias("pos", "raw_tag"))
     seeds = each.groupBy(F.col("seed_tag").alias("seed"), "raw_tag").agg(F.count(F.lit(1)).alias("count"), F.min(F.struct("post_id", "pos")).alias("first"))
-    return resolve.cascade(names, [resolve.by_dictionary(keyed, index), resolve.by_posts(names, keyed, seeds, index)])
+    tags = words(spark, sf).where(F.col("category") == 4).select("tag", "post_count")
+    made = {
+        "dictionary": lambda k: resolve.by_dictionary(k, index),
+        "direct": lambda k: resolve.by_dictionary(k.where(F.col("prio") < 3), index),
+        "posts": lambda k: resolve.by_posts(names, k, seeds, index),
+        "search": lambda k: resolve.by_tag_search(names, k, tags, index),
+    }
+    return resolve.cascade(names, keyed, [made[s] for s in stages])
 
 
-@query(
-    f"""WITH n AS (SELECT id, {sql_words('plain')} AS w, {sql_words("suffix")} AS sw FROM ({ORACLES['name_parts']})),
- d AS (SELECT tag, post_count, {sql_words('tag')} AS cw, {sql_words(f"regexp_extract(tag, '\\(([^)]+)\\){WS}*$', 1)")} AS csw FROM {DICT} WHERE category = 4),
- p AS (SELECT id, tag, count(*) AS overlap FROM (SELECT id, unnest(w) AS x FROM n) JOIN (SELECT tag, unnest(cw) AS x FROM d) USING (x) GROUP BY 1, 2)
- SELECT id, arg_max(tag, struct_pack(overlap, post_count, tag)) AS tag FROM p JOIN n USING (id) JOIN d USING (tag) WHERE len(sw) = 0 OR len(csw) = 0 OR list_has_any(sw, csw) GROUP BY id"""
-)
-def resolve_by_words(spark: SparkSession, sf: str) -> DataFrame:
-    """Best character tag that shares words with each name and does not contradict its series."""
-    names = table(spark, sf, "characters").select("id", "name")
-    tags = words(spark, sf).where(F.col("category") == 4).select(F.col("tag").alias("raw_tag"), "post_count")
-    name_words = names.where(F.col("name").isNotNull()).select("id", F.explode(T.meaningful_words(T.unescape_brackets("name"), T.STOP_WORDS_SHORT)).alias("w"))
-    tag_words = tags.select("raw_tag", "post_count", F.explode(T.meaningful_words("raw_tag", T.STOP_WORDS_SHORT)).alias("w"))
-    candidates = name_words.join(tag_words, "w").groupBy("id", "raw_tag").agg(F.max("post_count").alias("post_count"))
-    return resolve.best_candidate(names, candidates)
+@query(f"SELECT c.id, coalesce(replace(h.canonical, '_', ' '), '') AS tag, coalesce('csv:' || h.label, 'not_found') AS strategy FROM characters c LEFT JOIN (SELECT id, min(struct_pack(prio, label, canonical)) AS h FROM ({_KEYS}) k JOIN ({ORACLES['dict_alias_index']}) x ON x.key = k.key WHERE prio < 3 GROUP BY id) d ON d.id = c.id")
+def resolve_dictionary_only(spark: SparkSession, sf: str) -> DataFrame:
+    """Names by the dictionary alone, without the keys that need the series' canonical name."""
+    return _resolved(spark, sf, ("direct",))
+
+
+@query(_RESOLVED.replace("JOIN idx USING (key) GROUP BY id)", "JOIN idx USING (key) WHERE false GROUP BY id)", 1))
+def resolve_without_dictionary(spark: SparkSession, sf: str) -> DataFrame:
+    """Names by posts and tag search alone; what they give is still written as the dictionary has it."""
+    return _resolved(spark, sf, ("posts", "search"))
 
 
 @query(f"SELECT strategy, count(*) AS n, CAST(starts_with(strategy, 'csv:') AS INTEGER) AS from_dictionary FROM ({_RESOLVED}) GROUP BY strategy")
@@ -470,14 +501,21 @@ def resolve_strategy_stats(spark: SparkSession, sf: str) -> DataFrame:
     return resolve.strategy_counts(resolve_cascade(spark, sf))
 
 
-@query("SELECT name, rank FROM (SELECT trim(regexp_replace(name, '[ \\t]+', ' ', 'g')) AS name, row_number() OVER (ORDER BY tag) AS rank FROM (SELECT DISTINCT tag, replace(tag, '_', ' ') AS name FROM danbooru_tags WHERE category = 4))")
+@query(
+    f"""SELECT name, 'a series' AS series,
+ regexp_replace(name, '{WS}+', ' ', 'g') || ', a series, 1girl' AS tags, 'https://listing.example/p/x.jpg' AS image_url, rank + 48 AS rank, 'e621' AS source
+ FROM (SELECT trim(regexp_replace(name, '[ \\t]+', ' ', 'g')) AS name, row_number() OVER (ORDER BY tag) AS rank FROM (SELECT DISTINCT tag, replace(tag, '_', ' ') AS name FROM danbooru_tags WHERE category = 4 AND NOT contains(tag, ',')))"""
+)
 def page_cards(spark: SparkSession, sf: str) -> DataFrame:
     """Listing pages made from the dictionary's characters, read back as records."""
-    tags = table(spark, sf, "danbooru_tags").where(F.col("category") == 4).select("tag").distinct()
+    tags = table(spark, sf, "danbooru_tags").where((F.col("category") == 4) & ~F.contains("tag", F.lit(","))).select("tag").distinct()  # a comma list cannot hold one
     each = catalog.numbered(tags, "tag").withColumn("page", F.expr("position div 24 + 1"))
     card = F.concat(F.lit('<div class="card"><div class="card-header"><span>'), T.display_form("tag"), F.lit('</span></div><img alt="thumbnail" src="p/x.jpg"><div class="card-body"><div class="alert alert-secondary">'), T.display_form("tag"), F.lit(", a series, 1girl</div></div></div>"))
     pages = each.groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", card.alias("c")))), lambda x: x["c"]), "").alias("html"))
-    return cards.extract_cards(pages, "https://listing.example/").select("name", "rank")
+    folder = f"{shared_folder(spark)}/pages-{uuid.uuid4().hex}"
+    pages.write.partitionBy("page").text(folder)
+    read = spark.read.text(f"{folder}/page=*", wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"page=(\d+)", 1).cast("long").alias("page"), F.col("value").alias("html"))
+    return cards.extract_cards(read, "https://listing.example/", 48, "e621")
 
 
 _HISTORY = f"SELECT user_id, place, item FROM (SELECT user_id, item, row_number() OVER (PARTITION BY user_id ORDER BY used DESC) AS place FROM (SELECT user_id, {{}} AS item, max(struct_pack(ts, action_id)) AS used FROM {ONCE} WHERE {{}} GROUP BY 1, 2)) WHERE place <= {{}}"
@@ -514,9 +552,13 @@ def image_cache_lru(spark: SparkSession, sf: str) -> DataFrame:
     return state.cached_items(table(spark, sf, "actions"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE q AS (SELECT seed_tag AS k, fetched_at AS t FROM posts WHERE seed_tag IS NOT NULL AND fetched_at IS NOT NULL),
+ f AS (SELECT k, min(t) AS t FROM q GROUP BY k UNION ALL SELECT f.k, min(q.t) FROM f JOIN q ON q.k = f.k AND q.t >= f.t + INTERVAL 1800 SECOND GROUP BY f.k)
+ SELECT k AS key, requests, requests - fetches AS hits FROM (SELECT k, count(*) AS requests FROM q GROUP BY k) JOIN (SELECT k, count(*) AS fetches FROM f GROUP BY k) USING (k)"""
+)
 def post_cache_ttl(spark: SparkSession, sf: str) -> DataFrame:
-    """Requests of every seed that a cached answer could serve; a fold without equivalent in SQL over whole tables."""
+    """Requests of every seed that a cached answer could serve."""
     return state.cache_use(table(spark, sf, "posts"), "seed_tag", "fetched_at").groupBy("key").agg(F.count(F.lit(1)).alias("requests"), F.sum(F.col("hit").cast("long")).alias("hits"))
 
 
@@ -534,3 +576,164 @@ def stream_history(spark: SparkSession, sf: str) -> DataFrame:
     out = stream.run_to_end(stream.search_histories(stream.deduplicated(stream.read_log(spark, f"{sf}/actions.parquet*"))), "history", "update")
     last = out.groupBy("user_id").agg(F.max("batch").alias("batch"))
     return out.join(last, ["user_id", "batch"]).select("user_id", F.col("place").cast("int").alias("place"), "item")
+
+
+@query(f"SELECT * FROM {CATALOG} WHERE {_BOTH} ORDER BY rank ASC NULLS FIRST, id LIMIT 7 OFFSET (SELECT (greatest(1, (count(*) + 6) // 7) - 1) * 7 FROM {CATALOG} WHERE {_BOTH})")
+def page_jump(spark: SparkSession, sf: str) -> DataFrame:
+    """A jump beyond the end shows the last page."""
+    return catalog.page_at(catalog.search(cat(spark, sf), "mothmark, hair"), "9e9", 7)
+
+
+@query(f"SELECT * FROM {CATALOG} WHERE {_BOTH} ORDER BY rank ASC NULLS FIRST, id LIMIT 30")
+def page_jump_unreadable(spark: SparkSession, sf: str) -> DataFrame:
+    """A page number and a page size that cannot be read give the first page of thirty."""
+    return catalog.page_at(catalog.search(cat(spark, sf), "mothmark, hair"), "next", "many")
+
+
+@query(f"SELECT * FROM (SELECT * FROM {CATALOG} WHERE {_BOTH} ORDER BY rank ASC NULLS FIRST, id LIMIT 1) UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL")
+def page_row_at(spark: SparkSession, sf: str) -> DataFrame:
+    """The first row of a page, and the empty card for an index out of range."""
+    rows = catalog.page(catalog.search(cat(spark, sf), "mothmark, hair"))
+    return catalog.row_at(rows, 0).unionByName(catalog.row_at(rows, 1000))
+
+
+@query("SELECT count(*) > 0 AS populated, false AS missing FROM characters")
+def catalog_is_populated(spark: SparkSession, sf: str) -> DataFrame:
+    there, missing = catalog.is_populated(spark, f"{sf}/characters.parquet"), catalog.is_populated(spark, f"{sf}/no_such_catalog.parquet")
+    return spark.range(1).select(F.lit(there).alias("populated"), F.lit(missing).alias("missing"))
+
+
+_VIEWS = _HISTORY.format("char_id", "act = 'view' AND char_id IS NOT NULL", 100)
+
+
+@query(f"SELECT v.user_id, greatest(1, least(2, pages)) AS page, place, item FROM ({_VIEWS}) v JOIN (SELECT user_id, CAST((max(place) + 29) // 30 AS INTEGER) AS pages FROM ({_VIEWS}) GROUP BY 1) p USING (user_id) WHERE (place - 1) // 30 = greatest(1, least(2, pages)) - 1")
+def recent_page(spark: SparkSession, sf: str) -> DataFrame:
+    """The second page of what each user viewed, the first where there is no second."""
+    return state.recent_pages(state.recently_viewed(table(spark, sf, "actions")), 2)
+
+
+@query(
+    f"""SELECT user_id, CAST(to_json(list(struct_pack(id := item, name := coalesce(name, ''), series := coalesce(series, ''), tags := coalesce(tags, ''), danbooru_tag := coalesce(danbooru_tag, ''),
+ image_url := coalesce(image_url, ''), source := coalesce(source, 'danbooru')) ORDER BY place)) AS VARCHAR) AS value FROM ({_VIEWS}) v LEFT JOIN characters c ON c.id = v.item GROUP BY user_id"""
+)
+def recent_json(spark: SparkSession, sf: str) -> DataFrame:
+    """What each user viewed as a JSON array of records."""
+    return writers.recents_json(state.recently_viewed(table(spark, sf, "actions")), table(spark, sf, "characters"))
+
+
+@query(f"SELECT * FROM ({_VIEWS}) WHERE user_id NOT IN (SELECT user_id FROM {_FAVORITES} WHERE user_id IS NOT NULL)")
+def recent_cleared(spark: SparkSession, sf: str) -> DataFrame:
+    """What is left of the lists when users with favorites clear theirs."""
+    actions = table(spark, sf, "actions")
+    return state.cleared(state.recently_viewed(actions), state.favorites(actions))
+
+
+@query(
+    f"""WITH c AS {CATALOG}, s AS (SELECT * FROM c WHERE {_BOTH} ORDER BY rank ASC NULLS FIRST, id LIMIT 30),
+ v AS (SELECT * FROM c WHERE id IN (SELECT item FROM ({_VIEWS}))), f AS (SELECT * FROM c WHERE id IN (SELECT char_id FROM {_FAVORITES}))
+ SELECT id, min(place) AS place, any_value(name) AS name FROM (SELECT id, 0 AS place, name FROM s UNION ALL SELECT id, 1, name FROM v UNION ALL SELECT id, 2, name FROM f) GROUP BY id"""
+)
+def find_in_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """For every id the first list that has it: the page of results, the viewed, the favorites."""
+    rows, actions = cat(spark, sf), table(spark, sf, "actions")
+    viewed = catalog.search(rows, ids=state.recently_viewed(actions).select(F.col("item").alias("id")))
+    loved = catalog.search(rows, ids=state.favorites(actions).select(F.col("char_id").alias("id")))
+    found = state.first_of(rows.select("id"), catalog.page(catalog.search(rows, "mothmark, hair")), viewed, loved)
+    return found.select("id", "place", "row.name")
+
+
+@query("SELECT seed_tag, count(*) AS posts, min(post_id) AS oldest FROM (SELECT seed_tag, post_id, row_number() OVER (PARTITION BY seed_tag ORDER BY post_id DESC) AS k FROM (SELECT DISTINCT seed_tag, post_id FROM posts)) WHERE k <= 120 GROUP BY seed_tag")
+def posts_sampled(spark: SparkSession, sf: str) -> DataFrame:
+    """The newest 120 posts of each seed (the sample that a profile is made of)."""
+    kept = profile.sampled_posts(profile.latest_posts(table(spark, sf, "posts")))
+    return kept.groupBy("seed_tag").agg(F.count(F.lit(1)).alias("posts"), F.min("post_id").alias("oldest"))
+
+
+@query(sql_profiles())
+def posts_read_json(spark: SparkSession, sf: str) -> DataFrame:
+    """Profiles of posts landed as JSON records."""
+    path = f"{shared_folder(spark)}/json-{uuid.uuid4().hex}"
+    latest = profile.latest_posts(table(spark, sf, "posts"))
+    latest.write.json(path)
+    read = readers.read_posts(spark, path, "seed_tag string")
+    return profile.profiles(read)
+
+
+@query(f"SELECT user_id, char_id AS item FROM {_FAVORITES}")
+def favorites_read_json(spark: SparkSession, sf: str) -> DataFrame:
+    """Favorites written as JSON and read back."""
+    value = writers.favorites_json(state.favorites(table(spark, sf, "actions")))
+    return value.select("user_id", F.explode(readers.parse_id_list("value")).alias("item"))
+
+
+@query(_SEARCHES)
+def history_read_json(spark: SparkSession, sf: str) -> DataFrame:
+    """Search histories written as JSON and read back."""
+    value = writers.ordered_json(state.search_history(table(spark, sf, "actions")))
+    return value.select("user_id", F.posexplode(readers.parse_text_list("value")).alias("place", "item")).withColumn("place", F.col("place") + 1)
+
+
+@query(f"SELECT CAST(id AS VARCHAR) AS id, tag FROM {_OVERRIDES}")
+def overrides_read_json(spark: SparkSession, sf: str) -> DataFrame:
+    """Overrides written as JSON objects, one for each thousand ids, and read back."""
+    rows = state.overrides(table(spark, sf, "actions"))
+    pairs = F.map_from_entries(F.collect_list(F.struct(F.col("id").cast("string"), "danbooru_tag")))
+    value = rows.groupBy(F.expr("id div 1000").alias("part")).agg(F.to_json(pairs, {"ignoreNullFields": "false"}).alias("value"))
+    return value.select(F.explode(readers.parse_overrides("value")).alias("id", "tag"))
+
+
+@query(f"SELECT wildcard, max(value) AS value FROM (SELECT substr(regexp_replace(lower(replace({sql_strip('name')}, ' ', '_')), '[^a-z0-9_-]', '', 'g'), 1, 50) AS wildcard, {sql_strip('tags')} AS value FROM characters) WHERE wildcard <> '' AND value <> '' GROUP BY wildcard")
+def wildcard_export(spark: SparkSession, sf: str) -> DataFrame:
+    """The text files of an export, by name."""
+    return writers.wildcard_files(table(spark, sf, "characters"))
+
+
+_EXTRA_FORM = "replace(lower({}), '_', ' ')"
+_EXTRAS = f"""WITH pr AS (SELECT seed_tag, list(struct_pack(t := tag, c := CASE WHEN category IN (4, 3, 0, 1, 5) THEN category ELSE 0 END) ORDER BY place) AS l FROM ({sql_profiles(most=60, posts="(SELECT * FROM posts WHERE (seed_tag, post_id) IN (SELECT (seed_tag, post_id) FROM (SELECT seed_tag, post_id, row_number() OVER (PARTITION BY seed_tag ORDER BY post_id DESC) AS k FROM (SELECT DISTINCT seed_tag, post_id FROM posts)) WHERE k <= 120))")}) GROUP BY 1),
+ e AS (SELECT id, {sql_strip("coalesce(nullif(danbooru_tag, ''), name, '')")} AS seed, coalesce(series, '') AS series, tags AS prompt FROM characters),
+ j AS (SELECT e.*, l, {_EXTRA_FORM.format(sql_strip('seed'))} AS sf, {_EXTRA_FORM.format(sql_strip('series'))} AS yf, regexp_split_to_array(lower({sql_strip("coalesce(prompt, '')")}), ',{WS}*') AS have FROM e JOIN pr ON pr.seed_tag = lower(replace(seed, ' ', '_')) WHERE seed <> ''),
+ k AS (SELECT *, list_filter(l, lambda x: {_EXTRA_FORM.format(sql_strip('x.t'))} <> '' AND NOT list_contains(have, {_EXTRA_FORM.format(sql_strip('x.t'))})) AS new FROM j),
+ m AS (SELECT *, list_transform(new, lambda x: {_EXTRA_FORM.format(sql_strip('x.t'))}) AS known FROM k),
+ o AS (SELECT *, NOT list_contains(known, sf) AND NOT list_contains(have, sf) AS s FROM m),
+ p AS (SELECT *, series <> '' AND NOT list_contains(known, yf) AND NOT list_contains(have, yf) AND NOT (s AND yf = sf) AS y FROM o),
+ g AS (SELECT id, prompt, list_concat(CASE WHEN s THEN [struct_pack(t := seed, c := 4)] ELSE [] END, CASE WHEN y THEN [struct_pack(t := series, c := 3)] ELSE [] END, new) AS every FROM p),
+ x AS (SELECT id, prompt, every, unnest(range(1, len(every) + 1)) AS i FROM g),
+ u AS (SELECT id, every[i].t AS t, every[i].c AS c, i, row_number() OVER (PARTITION BY id, every[i].c, {_EXTRA_FORM.format(sql_strip('every[i].t'))} ORDER BY i) AS r FROM x)"""
+
+
+def _entries(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "characters")
+    return rows.select("id", T.or_default("danbooru_tag", F.coalesce("name", F.lit(""))).alias("seed"), "series", F.col("tags").alias("prompt"))
+
+
+def _extras(spark: SparkSession, sf: str) -> DataFrame:
+    posts = profile.sampled_posts(profile.latest_posts(table(spark, sf, "posts")))
+    return extras.fetch(_entries(spark, sf), extras.profile_lists(profile.profiles(posts, most=60)))
+
+
+@query(
+    _EXTRAS
+    + " SELECT g.id, "
+    + ", ".join(f"coalesce(list(t ORDER BY i) FILTER (c = {k} AND r = 1), []) AS c{k}" for k in extras.CLASSES)
+    + ", count(*) FILTER (r = 1) AS total FROM g LEFT JOIN u ON u.id = g.id GROUP BY g.id"
+)
+def extras_fetch(spark: SparkSession, sf: str) -> DataFrame:
+    """Extra tags of every entry by class, and their number: its seed's profile without what its prompt has, seed and series in front."""
+    return _extras(spark, sf).select("id", *[f"c{k}" for k in extras.CLASSES], "total")
+
+
+@query(
+    _EXTRAS
+    + f""", w AS (SELECT id, 0 AS part, 0 AS k, i, l[i] AS t FROM (SELECT id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT id, {sql_commas('prompt')} AS l FROM g)) UNION ALL
+  SELECT id, 1, CASE c WHEN 4 THEN 0 WHEN 3 THEN 1 WHEN 0 THEN 2 WHEN 1 THEN 3 ELSE 4 END, i, t FROM u WHERE r = 1),
+ z AS (SELECT *, {_FORM} AS f, row_number() OVER (PARTITION BY id, {_FORM} ORDER BY part, k, i) AS nth FROM w),
+ q AS (SELECT id, part, k, i, t, f FROM z WHERE part = 0 OR nth = 1), cm AS (SELECT id, {_EXTRA_FORM.format(sql_strip('t'))} AS f, arg_max(c, i) AS c FROM u GROUP BY 1, 2),
+ rk AS (SELECT q.id, q.part, q.k, q.i, q.t, CASE WHEN regexp_full_match(t, '[1-6]\\+?(girl|boy)s?', 'i') AND contains(lower(t), 'boy') THEN 0 WHEN regexp_full_match(t, '[1-6]\\+?(girl|boy)s?', 'i') THEN 1
+  WHEN cm.c = 4 THEN 2 WHEN cm.c = 3 THEN 3 ELSE 4 END AS cl FROM q LEFT JOIN cm ON cm.id = q.id AND cm.f = q.f),
+ d AS (SELECT id, count(*) AS total FROM u GROUP BY id)
+ SELECT g.id, CASE WHEN coalesce(d.total, 0) = 0 THEN any_value(g.prompt) ELSE coalesce(string_agg(rk.t, ', ' ORDER BY cl, rk.part, rk.k, rk.i), '') END AS prompt, count(*) FILTER (rk.part = 1) AS added
+ FROM g LEFT JOIN rk ON rk.id = g.id LEFT JOIN d ON d.id = g.id GROUP BY g.id, d.total"""
+)
+def extras_apply(spark: SparkSession, sf: str) -> DataFrame:
+    """The prompt of every entry with all its extra tags, in class order, and how many were added."""
+    return extras.apply_selected(_extras(spark, sf))

@@ -23,11 +23,15 @@ def local_session(cores: str = "8", memory: str = "8g", partitions: int = 8) ->
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder of ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
+    """Use the shared folder of ``spark.checkpoint.dir``; a temporary one only where it is unset and there are no executors on other machines (tests)."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tagsieve-checkpoint-")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="tagsieve-checkpoint-")
     context.setCheckpointDir(folder)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,9 +25,15 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """Dictionary from CSV with a header; names are stripped and lower-cased, ``name`` and ``tag_aliases`` are accepted too.
 
-    Numbers that cannot be read make both 0. A missing file raises Spark's path error.
+    Numbers that cannot be read make both 0. Quoted values may hold line breaks, so a file is read by one task and its lines
+    keep their order. A missing file gives no rows.
     """
-    raw = spark.read.csv(path, header=True, inferSchema=False, quote='"', escape='"', multiLine=False)
+    try:
+        raw = spark.read.csv(path, header=True, inferSchema=False, quote='"', escape='"', multiLine=True)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        raw = spark.createDataFrame([], "tag string, category string, post_count string, aliases string")
     raw = raw.toDF(*[c.strip().lower() for c in raw.columns])
     for wanted, other in (("tag", "name"), ("aliases", "tag_aliases"), ("category", None), ("post_count", None)):
         if wanted not in raw.columns:
@@ -38,9 +45,9 @@ def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     return load(typed)
 
 
-def read_posts(spark: SparkSession, path: str) -> DataFrame:
-    """Landed JSON records of posts, with a fixed schema; fields that are absent are NULL."""
-    return spark.read.schema(POSTS).json(path)
+def read_posts(spark: SparkSession, path: str, further: str = "") -> DataFrame:
+    """Landed JSON records of posts, with a fixed schema and ``further`` columns; fields that are absent are NULL."""
+    return spark.read.schema(f"{POSTS}, {further}" if further else POSTS).json(path)
 
 
 def parse_id_list(c: str) -> F.Column:
