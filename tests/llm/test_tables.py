@@ -207,3 +207,17 @@ def test_cut_texts_of_tiny_and_empty_tables(spark):
 def test_limits(spark):
     df = spark.createDataFrame([("s", "x" * n) for n in [*range(20, 60), *[40] * 30]], "source string, text string")
     assert [tuple(r) for r in truncation.length_limits(df).collect()] == [("s", 40)]
+
+
+def test_copies_of_hot_groups_are_salted_by_size(spark):
+    rows = [(i, "E621" if i % 2 else "e621", "A b" if i % 3 else "b_a", ["x", "y_z"] if i % 5 else ["Y z", "x"]) for i in range(700)]
+    rows += [(1000 + i, None, f"n{i // 3}", ["x"]) for i in range(60)] + [(5, "e621", "a b", ["x", "y z"])]
+    df = spark.createDataFrame(rows, "id long, source string, name string, vals array<string>")
+    got = sorted(tuple(r) for r in copies.copy_members(copies.encoded_records(df), hot=50).collect())
+    assert got == sorted([(0, i) for i in range(1, 700)] + [(1000 + 3 * k, 1000 + 3 * k + j) for k in range(20) for j in (1, 2)])
+
+
+def test_tuples_that_agree_in_64_bits_stay_apart(spark, monkeypatch):
+    """Identifiers that clash in their first half are told apart by the check."""
+    rows = spark.createDataFrame([(1, 1, 2, [3], 7, 9), (2, 1, 2, [3], 8, 9), (3, 1, 2, [3], 7, 9)], "id long, source_id long, name_id long, tag_ids array<long>, check long, key long")
+    assert [tuple(r) for r in copies.copy_members(rows).collect()] == [(1, 3)]
