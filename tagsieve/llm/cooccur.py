@@ -65,11 +65,11 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return codes[starts], np.add.reduceat(counts, starts) if len(codes) else counts
 
 
-def _count_pairs(items: list[str]):
-    """mapInArrow function: baskets (list<string> of distinct items) to (code, n) totals of the task."""
+def _count_pairs(shared):
+    """mapInArrow function: baskets (list<string> of distinct items) to (code, n) totals of the task; ``shared`` broadcasts the items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, m = pa.array(items, pa.string()), len(items)
+        wanted, m = pa.array(shared.value, pa.string()), len(shared.value)
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
@@ -123,7 +123,7 @@ def pair_counts(baskets: DataFrame, min_rows: int, max_rows: int | None = None,
         raise ValueError(f"more than {MOST_ITEMS} items stand in {min_rows} baskets; take a larger share of the baskets as least count")
     rows = sorted(listed, key=lambda r: r["item"].encode("utf-8", "surrogatepass"))
     items, m = [r["item"] for r in rows], max(1, len(rows))
-    coded = baskets.select("items").mapInArrow(_count_pairs(items), "code long, n long")
+    coded = baskets.select("items").mapInArrow(_count_pairs(spark.sparkContext.broadcast(items)), "code long, n long")
     totals = coded.groupBy("code").agg(F.sum("n").alias("n_ab")).where(F.col("n_ab") >= min_rows)
     totals = totals.select(F.expr(f"code div {m}").alias("a"), F.expr(f"code % {m}").alias("b"), "n_ab")
     names = spark.createDataFrame(pd.DataFrame({"k": range(len(rows)), "item": items, "n_item": [r["n_item"] for r in rows]}), "k long, item string, n_item long")
