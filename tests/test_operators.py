@@ -164,10 +164,11 @@ def test_resolution(spark):
     names = spark.createDataFrame([(1, "kaguya shinomiya"), (2, "black swan (hsr)"), (3, "nobody"), (4, None)], "id long, name string")
     redirects = spark.createDataFrame([("hsr", "honkai:_star_rail")], "antecedent_name string, consequent_name string")
     index = spark.createDataFrame([("shinomiya_kaguya", "shinomiya_kaguya"), ("black_swan_(honkai:_star_rail)", "black_swan_(honkai:_star_rail)")], "key string, canonical string")
-    got = {r["id"]: (r["tag"], r["strategy"]) for r in resolve.cascade(names, [resolve.by_dictionary(resolve.keys(names, redirects), index)]).collect()}
+    got = {r["id"]: (r["tag"], r["strategy"]) for r in resolve.cascade(names, resolve.keys(names, redirects), [lambda k: resolve.by_dictionary(k, index)]).collect()}
     assert got == {1: ("shinomiya kaguya", "csv:inverted"), 2: ("black swan (honkai: star rail)", "csv:series_alias"), 3: ("", "not_found"), 4: ("", "not_found")}
-    candidates = spark.createDataFrame([(2, "black_swan_(ff)", 900), (2, "black_swan_(hsr)", 5)], "id long, raw_tag string, post_count long")
-    assert resolve.best_candidate(names, candidates).first()["tag"] == "black_swan_(hsr)"
+    tags = spark.createDataFrame([("black_swan_(ff)", 900), ("black_swan_(hsr)", 5)], "tag string, post_count long")
+    both = tags.select(F.col("tag").alias("key"), F.col("tag").alias("canonical"))
+    assert [r["tag"] for r in resolve.by_tag_search(names, resolve.keys(names, redirects), tags, both).collect()] == ["black swan (hsr)"]
 
 
 def test_cards(spark):
@@ -211,7 +212,7 @@ def test_readers(spark, tmp_path):
     assert (one["f"], one["h"], one["o"]) == ([1, 2], ["a"], {"1": "t"}) and (two["f"], two["h"]) == ([], [])
     rows = spark.createDataFrame([("A b!", " x, y "), ("z", " ")], "name string, tags string")
     writers.write_wildcards(rows, str(tmp_path / "w"))
-    assert [(r["wildcard"], r["value"]) for r in spark.read.text(str(tmp_path / "w")).collect()] == [("a_b", "x, y")]
+    assert {f.name: f.read_text() for f in (tmp_path / "w").iterdir()} == {"a_b.txt": "x, y\n"}
     cat = spark.createDataFrame([(1, "n", None, "t", None, 1, None, "a")], CATALOG)
     writers.write_catalog(cat, str(tmp_path / "c"))
     writers.append_catalog(cat.select("id", "name", "tags"), str(tmp_path / "old"))
