@@ -17,6 +17,7 @@ maximisation over a histogram, and the scores are corrected for it.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -42,7 +43,7 @@ DISTANCES = (0, 1, 2, 4, 8, 16)
 
 
 def _bucket(n: float) -> int:
-    return 0 if n <= 0 else 1 + int(np.log2(n)) if n < 2**12 else 13
+    return 0 if n <= 0 else 1 + int(math.log2(n)) if n < 2**12 else 13
 
 
 def bare(piece: str) -> tuple[str, str]:
@@ -70,15 +71,36 @@ def plain(value: str) -> str:
 def features(piece: str, tail: str, count: int, source: str, distance: int, support: float, completions: float, listed: bool) -> list[int]:
     """Places in the weights of the features of one text that ends with ``piece`` and ``tail`` behind it, ``distance`` below
     the next pile-up length of its source."""
-    near, at_limit = near_limit(distance), distance == 0
+    near = near_limit(distance)
     stem, mark = (piece, "") if listed else bare(piece)
     words = plain(stem).split(" ")
     lower = stem.lower()
     ended = any(c in tail for c in _SEPARATORS) or "/" in tail
     opened = stem[:1] in "\"'“" and len(stem) > 1 or "(" in stem and ")" not in stem
     s, c = _bucket(support), _bucket(completions)
-    ratio = int(np.clip(np.round(2 * np.log2((completions + 0.5) / (support + 0.5))), -20, 20))
-    names = [
+    ratio = max(-20, min(20, round(2 * math.log2((completions + 0.5) / (support + 0.5)))))
+    key = (mark, ended, opened, near, source, s, c, ratio, listed, min(len(words), 6), min(len(words[-1]), 8), count < 4)
+    shared = _PLACES.get(key)
+    if shared is None:
+        if len(_PLACES) > _MEMO:
+            _PLACES.clear()
+        shared = _PLACES[key] = _hashed(_of_classes(*key))
+    first = f"first {words[0]} words {len(words) if len(words) < 3 else 3}"
+    return shared + _hashed([f"last {lower[-1:]}", f"last {lower[-2:]}", f"last {lower[-3:]}", f"word {words[-1]}", first])
+
+
+#: Places of features that depend on few classes alone, kept by the classes.
+_PLACES: dict[tuple, list[int]] = {}
+_MEMO = 200_000
+
+
+def _hashed(names: list[str]) -> list[int]:
+    return [zlib.crc32(n.encode("utf-8", "surrogatepass")) % WEIGHTS for n in names]
+
+
+def _of_classes(mark: str, ended: bool, opened: bool, near: int, source: str, s: int, c: int, ratio: int, listed: bool, n_words: int, length: int, short: bool) -> list[str]:
+    at_limit = near == 0
+    return [
         "bias",
         f"mark {mark}",
         f"ended {ended}",
@@ -93,16 +115,10 @@ def features(piece: str, tail: str, count: int, source: str, distance: int, supp
         f"ratio {ratio}",
         f"seen {min(s, 5)} starts {min(c, 6)} listed {listed}",
         f"listed {listed} ended {ended}",
-        f"last {lower[-1:]}",
-        f"last {lower[-2:]}",
-        f"last {lower[-3:]}",
-        f"word {words[-1]}",
-        f"words {min(len(words), 6)} seen {s > 0}",
-        f"word length {min(len(words[-1]), 8)} seen {s > 0}",
-        f"short list {count < 4}",
-        f"first {words[0]} words {len(words) if len(words) < 3 else 3}",
+        f"words {n_words} seen {s > 0}",
+        f"word length {length} seen {s > 0}",
+        f"short list {short}",
     ]
-    return [zlib.crc32(n.encode("utf-8", "surrogatepass")) % WEIGHTS for n in names]
 
 
 def value_counts(lists: DataFrame, dictionary: DataFrame) -> DataFrame:
