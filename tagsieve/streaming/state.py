@@ -13,11 +13,17 @@ from tagsieve.operators.state import HISTORY_CAP, TTL_SECONDS
 from tagsieve.session import shared_folder
 
 LOG = "action_id long, user_id long, ts timestamp, received_at timestamp, act string, char_id long, typed string"
+#: Bytes of Parquet in a batch where a log that is there is read to its end.
+BATCH_BYTES = 256 * 1024 * 1024
 
 
-def read_log(spark: SparkSession, pattern: str, files_a_batch: int = 1) -> DataFrame:
-    """The log as a stream of Parquet files that match a path pattern."""
-    return spark.readStream.schema(LOG).option("maxFilesPerTrigger", files_a_batch).parquet(pattern)
+def read_log(spark: SparkSession, pattern: str, files_a_batch: int = 1, bytes_a_batch: int | None = None) -> DataFrame:
+    """The log as a stream of Parquet files that match a path pattern, so many files a batch or, where it is given, files of about so many bytes.
+
+    Every batch opens and commits all state, which takes longer than the rows of a small file; a log of many files is read by bytes.
+    """
+    limit = ("maxBytesPerTrigger", bytes_a_batch) if bytes_a_batch else ("maxFilesPerTrigger", files_a_batch)
+    return spark.readStream.schema(LOG).option(*limit).parquet(pattern)
 
 
 def deduplicated(log: DataFrame, delay: str | None = None) -> DataFrame:

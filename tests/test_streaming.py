@@ -1,10 +1,13 @@
 """Streaming state gives what the batch form gives."""
 
 import datetime as dt
+import glob
 
 from pyspark.sql import functions as F
 
 from tagsieve.operators import state as batch
+from tagsieve.plans import queries
+from tagsieve.session import shared_folder
 from tagsieve.streaming import state as stream
 
 
@@ -40,3 +43,33 @@ def test_windows_and_cache(spark, tmp_path):
     requests = log.select(F.col("char_id").cast("string").alias("key"), F.col("ts").alias("at"))
     hits = stream.run_to_end(stream.post_cache(requests), "cache", "append")
     assert [r["hit"] for r in hits.orderBy("at").collect()] == [False, True, False]
+
+
+def batches_of(spark, name, run):
+    """What run() gives, and the number of batches of the stream of that name."""
+    at = f"{shared_folder(spark).removeprefix('file:')}/{name}-*/out/number=*"
+    before = set(glob.glob(at))
+    return run(), len(set(glob.glob(at)) - before)
+
+
+def many_small_files(spark, tmp_path):
+    """Each file repeats the last row of the one before it."""
+    rows = [(a, a % 3, ("favorite", "search")[a // 3 % 2], a % 4, f"q{a % 30}") for a in range(114)]
+    write_log(spark, f"{tmp_path}/actions.parquet", [rows[max(0, k - 1) : k + 10] for k in range(0, 120, 10)])
+    for k, f in enumerate(sorted(glob.glob(f"{tmp_path}/actions.parquet/part*/*.parquet"))):
+        (tmp_path / "log" / "actions.parquet").mkdir(parents=True, exist_ok=True)
+        (tmp_path / "log" / "actions.parquet" / f"part-{k}.parquet").write_bytes(open(f, "rb").read())
+    return str(tmp_path / "log")
+
+
+def test_favorites_of_many_small_files(spark, tmp_path):
+    folder = many_small_files(spark, tmp_path)
+    wanted = sorted(tuple(r) for r in batch.favorites(spark.read.parquet(f"{folder}/actions.parquet")).collect())
+    df, number = batches_of(spark, "favorites", lambda: queries.stream_favorites(spark, folder))
+    assert sorted(tuple(r) for r in df.collect()) == wanted and wanted
+    assert number == 1
+    log = stream.read_log(spark, f"{folder}/actions.parquet*", bytes_a_batch=1)
+    out, number = batches_of(spark, "limited", lambda: stream.run_to_end(stream.favorite_counts(log), "limited", "update"))
+    last = out.groupBy("user_id", "char_id").agg(F.max_by("n", "batch").alias("n")).where("n % 2 = 1")
+    assert sorted((r[0], r[1]) for r in last.collect()) == wanted
+    assert number == 12
