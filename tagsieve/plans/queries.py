@@ -573,7 +573,7 @@ def stream_favorites(spark: SparkSession, sf: str) -> DataFrame:
 @query(_SEARCHES)
 def stream_history(spark: SparkSession, sf: str) -> DataFrame:
     """The search histories as a streaming query; the last state of each user."""
-    out = stream.run_to_end(stream.search_histories(stream.deduplicated(stream.read_log(spark, f"{sf}/actions.parquet*"))), "history", "update")
+    out = stream.run_to_end(stream.search_histories(stream.deduplicated(stream.read_log(spark, f"{sf}/actions.parquet*", bytes_a_batch=stream.BATCH_BYTES))), "history", "update")
     last = out.groupBy("user_id").agg(F.max("batch").alias("batch"))
     return out.join(last, ["user_id", "batch"]).select("user_id", F.col("place").cast("int").alias("place"), "item")
 

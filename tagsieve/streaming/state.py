@@ -44,8 +44,8 @@ def search_histories(log: DataFrame, cap: int = HISTORY_CAP) -> DataFrame:
         held = [tuple(x) for x in zip(*state.get)] if state.exists else []
         latest = {item: (ts, action) for item, ts, action in held}
         for f in frames:
-            for item, ts, action in zip(f["item"], f["ts"], f["action_id"]):
-                at = (ts.value // 1000, int(action))
+            for item, micros, action in zip(f["item"].tolist(), f["at"].tolist(), f["action_id"].tolist()):
+                at = (micros, int(action))
                 if item not in latest or latest[item] < at:
                     latest[item] = at
             if len(latest) > 50 * cap:
@@ -54,7 +54,8 @@ def search_histories(log: DataFrame, cap: int = HISTORY_CAP) -> DataFrame:
         state.update(([k for k, _ in kept], [a for _, (a, _) in kept], [b for _, (_, b) in kept]))
         yield pd.DataFrame({"user_id": key[0], "place": range(1, len(kept) + 1), "item": [k for k, _ in kept]})
 
-    searches = log.where((F.col("act") == "search") & F.col("typed").rlike(r"(?U)\S")).select("user_id", "ts", "action_id", F.regexp_replace("typed", r"(?U)^\s+|\s+$", "").alias("item"))
+    # microseconds, as pandas takes long to make timestamps for each user
+    searches = log.where((F.col("act") == "search") & F.col("typed").rlike(r"(?U)\S")).select("user_id", F.coalesce(F.unix_micros("ts"), F.lit(-(2**63))).alias("at"), "action_id", F.regexp_replace("typed", r"(?U)^\s+|\s+$", "").alias("item"))
     return searches.groupBy("user_id").applyInPandasWithState(update, "user_id long, place int, item string", "items array<string>, at array<long>, action array<long>", "update", GroupStateTimeout.NoTimeout)
 
 

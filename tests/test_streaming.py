@@ -73,3 +73,16 @@ def test_favorites_of_many_small_files(spark, tmp_path):
     last = out.groupBy("user_id", "char_id").agg(F.max_by("n", "batch").alias("n")).where("n % 2 = 1")
     assert sorted((r[0], r[1]) for r in last.collect()) == wanted
     assert number == 12
+
+
+def test_history_of_many_small_files(spark, tmp_path):
+    folder = many_small_files(spark, tmp_path)
+    wanted = sorted(tuple(r) for r in batch.search_history(spark.read.parquet(f"{folder}/actions.parquet")).collect())
+    df, number = batches_of(spark, "history", lambda: queries.stream_history(spark, folder))
+    assert sorted((r["user_id"], r["place"], r["item"]) for r in df.collect()) == wanted and wanted
+    assert number == 1
+    log = stream.deduplicated(stream.read_log(spark, f"{folder}/actions.parquet*", bytes_a_batch=1))
+    out, number = batches_of(spark, "limited", lambda: stream.run_to_end(stream.search_histories(log), "limited", "update"))
+    final = out.join(out.groupBy("user_id").agg(F.max("batch").alias("batch")), ["user_id", "batch"])
+    assert sorted((r["user_id"], r["place"], r["item"]) for r in final.collect()) == wanted
+    assert number == 12
