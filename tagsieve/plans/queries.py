@@ -565,7 +565,7 @@ def post_cache_ttl(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"SELECT user_id, char_id FROM {_FAVORITES}")
 def stream_favorites(spark: SparkSession, sf: str) -> DataFrame:
     """The favorites as a streaming query, read to the end of the log."""
-    out = stream.run_to_end(stream.favorite_counts(stream.read_log(spark, f"{sf}/actions.parquet*", bytes_a_batch=stream.BATCH_BYTES)), "favorites", "update")
+    out = stream.run_to_end(stream.favorite_counts(stream.by_receipt(stream.read_log(spark, f"{sf}/actions.parquet*", bytes_a_batch=stream.BATCH_BYTES))), "favorites", "update", checked=False)
     last = out.groupBy("user_id", "char_id").agg(F.max_by("n", "batch").alias("n"))
     return last.where(F.col("n") % 2 == 1).select("user_id", "char_id")
 
@@ -573,7 +573,7 @@ def stream_favorites(spark: SparkSession, sf: str) -> DataFrame:
 @query(_SEARCHES)
 def stream_history(spark: SparkSession, sf: str) -> DataFrame:
     """The search histories as a streaming query; the last state of each user."""
-    out = stream.run_to_end(stream.search_histories(stream.deduplicated(stream.read_log(spark, f"{sf}/actions.parquet*", bytes_a_batch=stream.BATCH_BYTES))), "history", "update")
+    out = stream.run_to_end(stream.search_histories(stream.deduplicated(stream.by_receipt(stream.read_log(spark, f"{sf}/actions.parquet*", bytes_a_batch=stream.BATCH_BYTES)))), "history", "update", checked=False)
     last = out.groupBy("user_id").agg(F.max("batch").alias("batch"))
     return out.join(last, ["user_id", "batch"]).select("user_id", F.col("place").cast("int").alias("place"), "item")
 

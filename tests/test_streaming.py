@@ -86,3 +86,22 @@ def test_history_of_many_small_files(spark, tmp_path):
     final = out.join(out.groupBy("user_id").agg(F.max("batch").alias("batch")), ["user_id", "batch"])
     assert sorted((r["user_id"], r["place"], r["item"]) for r in final.collect()) == wanted
     assert number == 12
+
+
+def test_first_received_of_differing_rows(spark, tmp_path):
+    """Every action is there twice, in either order and with other content when it came again."""
+    start = dt.datetime(2024, 1, 1)
+    for k in range(4):
+        rows = []
+        for a in range(k % 2, 80, 2):
+            again = (a // 2 + k // 2) % 2
+            rows.append((a, a % 9, start, start + dt.timedelta(days=3 * again, minutes=a), ("favorite", "search")[a // 4 % 2], a + 1000 * again, f"{'ab'[again]}{a}"))
+        spark.createDataFrame(rows, stream.LOG).coalesce(1).write.parquet(f"{tmp_path}/w{k}")
+        (tmp_path / "actions.parquet").mkdir(exist_ok=True)
+        next((tmp_path / f"w{k}").glob("*.parquet")).rename(tmp_path / "actions.parquet" / f"part-{k}.parquet")
+    log = spark.read.parquet(f"{tmp_path}/actions.parquet")
+    for form, query in ((batch.favorites, queries.stream_favorites), (batch.search_history, queries.stream_history)):
+        wanted, got = form(log), query(spark, str(tmp_path))
+        assert sorted(map(tuple, got.select(wanted.columns).collect())) == sorted(map(tuple, wanted.collect()))
+        assert wanted.count() == 40
+    assert spark.conf.get("spark.sql.streaming.unsupportedOperationCheck") == "true"
